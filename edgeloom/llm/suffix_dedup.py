@@ -51,42 +51,55 @@ def least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, at: np.ndarray, threshold: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all texts: their starts, their texts, and the hash of each one's anchor."""
+def digits(data: np.ndarray, order: str) -> np.ndarray:
+    """The 8 bytes at every place, as numbers; a view, nothing is copied."""
+    return np.ndarray((max(0, len(data) - 7),), dtype=f"{order}u8", buffer=data, strides=(1,)) if len(data) > 7 else np.zeros(0, f"{order}u8")
+
+
+def anchor_runs(data: np.ndarray, at: np.ndarray, threshold: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows in a row that share an anchor: first start, number of windows, hash of the anchor."""
+    none = np.zeros(0, np.int64)
     if len(data) < threshold:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = np.zeros(len(data) - 7, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | data[i : len(data) - 7 + i]
+        return none, none, none.astype(np.uint64)
+    word = digits(data, "<")
     n = len(data) - k + 1
     gram = np.zeros(n, np.uint64)
     for i in [*range(0, k - 8, 8), k - 8]:
-        gram = mix64(gram ^ word[i : i + n])
+        gram *= np.uint64(0x9E3779B97F4A7C15)
+        gram ^= word[i : i + n]
+        gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xD6E8FEB86659FD93)
+    gram ^= gram >> np.uint64(32)
     least = least_in_windows(gram, threshold - k + 1)
-    size = np.diff(at)
-    doc = np.repeat(np.arange(len(size)), size)[: len(least)]
-    inside = np.arange(len(least)) + threshold <= at[doc + 1]
-    return np.flatnonzero(inside), doc[inside], least[inside]
-
-
-def sort_windows(data: np.ndarray, start: np.ndarray, threshold: int) -> list[np.ndarray]:
+    inside = np.ones(len(least), bool)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        inside[max(a, b - threshold + 1) : b] = False
+    new = inside.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= (least[1:] != least[:-1]) | ~inside[1:]
+    start = np.flatnonzero(new)
+    return start, np.flatnonzero(last) - start + 1, least[start]
+
+
+def sort_windows(data: np.ndarray, start: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Groups of equal windows, as (order, group number) of the members of groups of two or more."""
-    word = np.zeros(max(0, len(data) - 7), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | data[i : len(data) - 7 + i]
+    word = digits(data, ">")
     live, group = np.arange(len(start)), np.zeros(len(start), np.int64)
     for digit in [*range(0, threshold - 8, 8), threshold - 8]:
         if not len(live):
             break
-        value = word[start[live] + digit]
-        order = np.lexsort((value, group)) if digit else np.argsort(value, kind="stable")
+        value = word[start[live] + digit].astype(np.uint64)
+        order = np.argsort(value)
+        if digit:
+            order = order[np.argsort(group[order], kind="stable")]
         live, group, value = live[order], group[order], value[order]
         new = np.ones(len(live), bool)
         new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1
         live, group = live[many], group[many]
-    return [live, group]
+    return live, group
 
 
 class Batch:
@@ -97,9 +110,10 @@ class Batch:
         self.ids = ids[order]
         self.data, self.at = flat(texts.take(pa.array(order)))
         self.threshold = threshold
-        self.start, self.doc, least = anchors(self.data, self.at, threshold, k)
-        self.codes, first, self.anchor = np.unique(least, return_index=True, return_inverse=True)
-        self.anchor = self.anchor.reshape(-1)
+        self.start, self.windows, least = anchor_runs(self.data, self.at, threshold, k)
+        self.doc = np.searchsorted(self.at, self.start, side="right") - 1
+        self.codes, first, anchor = np.unique(least, return_index=True, return_inverse=True)
+        self.anchor = anchor.reshape(-1)
         self.bucket = (mix64(self.codes) % np.uint64(buckets)).astype(np.int64)
         # does the batch itself have the anchor in two texts?
         owner = self.ids[self.doc]
@@ -115,21 +129,18 @@ class Batch:
             for own in np.split(self.by_bucket, cut):
                 yield int(self.bucket[own[0]]), own
 
-    def runs(self, chosen: np.ndarray):
-        """Distinct strings of windows in a row that share a chosen anchor: (windows of each run, run of each window, string number of each run, strings as bytes)."""
-        keep = chosen[self.anchor]
-        start, doc, anchor = self.start[keep], self.doc[keep], self.anchor[keep]
-        if not len(start):
-            return np.flatnonzero(keep), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
-        new = np.ones(len(start), bool)
-        new[1:] = (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-        head = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        tail = np.append(head[1:], len(start)) - 1
-        raw = self.data.tobytes()
+    def owned(self, chosen: np.ndarray):
+        """What the batch sends in the second round: its runs with a chosen anchor, each one's string number, the distinct strings, their least ids and buckets."""
+        run = np.flatnonzero(chosen[self.anchor])
+        begin, end = self.start[run], self.start[run] + self.windows[run] + self.threshold - 1
+        raw = self.data.tobytes() if len(run) else b""
         names: dict[bytes, int] = {}
-        number = np.fromiter((names.setdefault(raw[a:b], len(names)) for a, b in zip(start[head].tolist(), (start[tail] + self.threshold).tolist(), strict=True)), np.int64, len(head))
-        return np.flatnonzero(keep), run, number, list(names), head
+        number = np.fromiter((names.setdefault(raw[a:b], len(names)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(run))
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, self.ids[self.doc[run]])
+        bucket = np.zeros(len(names), np.int64)
+        bucket[number] = self.bucket[self.anchor[run]]
+        return run, number, list(names), least, bucket
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -160,18 +171,6 @@ def _chosen(b: Batch, replies: pa.Table) -> np.ndarray:
     return chosen
 
 
-def _owned(b: Batch, chosen: np.ndarray):
-    """What a batch sends in the second round, by bucket: runs' strings with their least ids, in the order of first occurrence."""
-    keep, run, number, strings, head = b.runs(chosen)
-    least = np.full(len(strings), np.iinfo(np.int64).max)
-    if len(strings):
-        np.minimum.at(least, number, b.ids[b.doc[keep[head]]])
-    first = np.zeros(len(strings), np.int64)
-    first[number[::-1]] = head[::-1]
-    bucket = b.bucket[b.anchor[keep[first]]] if len(strings) else np.zeros(0, np.int64)
-    return keep, run, number, strings, head, least, bucket
-
-
 def duplicate_spans(docs: DataFrame, out, schema: str, *, threshold: int = 50, batch_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Run the three rounds over ``docs``; ``out(rows, data, at, removed)`` makes the result of a batch from its rows (a table with ``_id``, ``_text`` and the other columns, sorted by id), its bytes, where texts begin, and a flag a byte."""
     k = min(24, max(8, threshold // 2))
@@ -198,7 +197,7 @@ def duplicate_spans(docs: DataFrame, out, schema: str, *, threshold: int = 50, b
 
     def send_runs(key_, table, replies):
         b = _read(table, threshold, k, parts)
-        _, _, _, strings, _, least, bucket = _owned(b, _chosen(b, replies))
+        _, _, strings, least, bucket = b.owned(_chosen(b, replies))
         order = np.argsort(bucket, kind="stable")
         cuts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
         text_of = [b"".join(strings[i] for i in own) for own in cuts]
@@ -207,19 +206,29 @@ def duplicate_spans(docs: DataFrame, out, schema: str, *, threshold: int = 50, b
 
     def repeated_windows(key_, table):
         batch, strings, sizes, least = (table.column(c).to_pylist() for c in ("batch", "strings", "sizes", "least"))
-        data = np.frombuffer(b"".join(strings), np.uint8)
         size = np.concatenate([np.frombuffer(x, np.uint32) for x in sizes]).astype(np.int64)
         owner = np.concatenate([np.frombuffer(x, np.int64) for x in least])
         windows = size - threshold + 1
-        begin = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(size)), windows)
-        start = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        # batches may send equal strings: each goes into the sort once, under its least id
+        raw, end = b"".join(strings), np.cumsum(size)
+        names: dict[bytes, int] = {}
+        number = np.fromiter((names.setdefault(raw[a:b], len(names)) for a, b in zip((end - size).tolist(), end.tolist(), strict=True)), np.int64, len(size))
+        own = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(own, number, owner)
+        data = np.frombuffer(b"".join(names), np.uint8)
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        inner = length - threshold + 1
+        first = np.cumsum(inner) - inner
+        of = np.repeat(np.arange(len(length)), inner)
+        start = np.repeat(np.cumsum(length) - length - first, inner) + np.arange(inner.sum())
         live, group = sort_windows(data, start, threshold)
-        smaller = np.zeros(len(start), bool)
+        least_id = own[of]
         if len(live):
-            least_id = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least_id, group, owner[of[live]])
-            smaller[live] = least_id[group] < owner[of[live]]
+            of_group = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(of_group, group, least_id[live])
+            least_id[live] = of_group[group]
+        at = np.repeat(first[number] - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        smaller = least_id[at] < np.repeat(owner, windows)
         per = [int(x) for x in np.add.reduceat(windows, np.cumsum([0, *[len(x) // 4 for x in sizes][:-1]]))]
         ends = np.cumsum(per)
         return pa.table({"bucket": pa.array([key_[0].as_py()] * len(batch), pa.int32()), "batch": pa.array(batch, pa.int32()), "seen": pa.array([_bits(smaller[e - n : e]) for e, n in zip(ends, per, strict=True)], pa.binary())})
@@ -227,27 +236,24 @@ def duplicate_spans(docs: DataFrame, out, schema: str, *, threshold: int = 50, b
     def cut(key_, table, replies):
         b = _read(table, threshold, k, parts)
         chosen = _chosen(b, replies.filter(replies.column("bits").is_valid()))
-        keep, run, number, strings, head, least, bucket = _owned(b, chosen)
+        run, number, strings, least, bucket = b.owned(chosen)
         removed = np.zeros(len(b.data), bool)
         if len(strings):
             answers = replies.filter(replies.column("seen").is_valid())
             seen = {int(x): raw for x, raw in zip(answers.column("bucket").to_pylist(), answers.column("seen").to_pylist(), strict=True)}
-            windows = np.array([len(s) for s in strings], np.int64) - threshold + 1
+            windows = np.fromiter(map(len, strings), np.int64, len(strings)) - threshold + 1
             order = np.argsort(bucket, kind="stable")
             flags = np.zeros(windows.sum(), bool)
             place = np.cumsum(windows) - windows
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                own_windows = windows[own]
-                to = np.repeat(place[own] - np.cumsum(own_windows) + own_windows, own_windows) + np.arange(own_windows.sum())
-                flags[to] = _flags(seen[int(bucket[own[0]])], int(own_windows.sum()))
-            inner = np.arange(len(run)) - head[run]
-            name = number[run]
-            gone = flags[place[name] + inner] | (b.ids[b.doc[keep]] != least[name])
-            # a window that another run of this batch has, under a smaller id, was answered for its own least id
-            cover = np.zeros(len(b.data) + 1, np.int64)
-            at = b.start[keep[gone]]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + threshold, -1)
+                to = np.repeat(place[own] - np.cumsum(windows[own]) + windows[own], windows[own]) + np.arange(windows[own].sum())
+                flags[to] = _flags(seen[int(bucket[own[0]])], len(to))
+            # a window goes if a smaller id has it than the least one of its string in this batch, or if its own id is a larger one
+            count = b.windows[run]
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            gone = flags[np.repeat(place[number], count) + inner] | np.repeat(b.ids[b.doc[run]] != least[number], count)
+            at = (np.repeat(b.start[run], count) + inner)[gone]
+            cover = np.bincount(at, minlength=len(b.data) + 1) - np.bincount(at + threshold, minlength=len(b.data) + 1)
             removed = np.cumsum(cover[:-1]) > 0
         rows_ = table.take(pa.array(np.argsort(_ids(table.column("_id").combine_chunks()), kind="stable")))
         return out(rows_, b.data, b.at, removed)
