@@ -1,0 +1 @@
+"""Kept empty: every operator here is a batch operator."""
