@@ -267,6 +267,19 @@ SELECT left_out, count(*) AS items, round(CASE WHEN count(*) >= 3 AND var_pop(x)
     + """ SELECT a.scenario, a.budget, round(avg(a.removed_risk - b.removed_risk), 8) AS mean_delta, count(*) FILTER (a.removed_risk - b.removed_risk > 1e-12) AS wins, count(*) FILTER (abs(a.removed_risk - b.removed_risk) <= 1e-12) AS ties, count(*) FILTER (a.removed_risk - b.removed_risk < -1e-12) AS losses
 FROM curves a JOIN curves b ON a.graph_id = b.graph_id AND a.scenario = b.scenario AND a.budget = b.budget WHERE a.strategy = 'impact' AND b.strategy = 'edge_betweenness' GROUP BY a.scenario, a.budget""",
     "priority_rank_correlation": RISK + " SELECT count(*) AS projects, round(quantile_cont(rho, 0.5), 9) AS median, round(min(rho), 9) AS min, round(max(rho), 9) AS max FROM rho JOIN elig USING (g) WHERE rho IS NOT NULL",
+    "rank_sensitivities": BETWEEN
+    + """, lf AS (SELECT f.*, s.lost FROM feat f JOIN sev s USING (g, u, v)),
+lr AS (SELECT g, CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN round(1 - round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 9), 9) END AS lost_gap FROM (
+  SELECT g, rank() OVER (PARTITION BY g ORDER BY lost) + (count(*) OVER (PARTITION BY g, lost) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY g ORDER BY edge_betweenness) + (count(*) OVER (PARTITION BY g, edge_betweenness) - 1) / 2.0::DOUBLE AS y FROM lf) GROUP BY g),
+cr AS (SELECT rho.g, edges, round(edges / 12.0::DOUBLE, 12) AS density, round(x, 12) AS mult, y AS gap, lost_gap FROM rho JOIN rel USING (g) JOIN lr USING (g)),
+v AS (SELECT 'all' AS variant, mult AS x, gap AS y FROM cr UNION ALL SELECT 'larger', mult, gap FROM cr WHERE edges >= 6 UNION ALL SELECT 'without_prefix', mult, gap FROM cr WHERE NOT starts_with(g, 'p1')
+  UNION ALL SELECT 'many_paths', mult, gap FROM cr WHERE mult > 0.05::DOUBLE UNION ALL SELECT 'density', density, gap FROM cr UNION ALL SELECT 'lost_pairs', mult, lost_gap FROM cr WHERE lost_gap IS NOT NULL),
+rv AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY x) + (count(*) OVER (PARTITION BY variant, x) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY variant ORDER BY y) + (count(*) OVER (PARTITION BY variant, y) - 1) / 2.0::DOUBLE AS y FROM v)
+SELECT variant, count(*) AS graphs, round(CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 9) AS rho FROM rv GROUP BY variant""",
+    "priority_advantage": RISK
+    + """ SELECT count(*) AS projects, count(*) FILTER (abs(d) <= 1e-8) AS ties, count(*) FILTER (d > 1e-8) AS wins, round(avg(d), 6) AS mean_points, round(max(d), 6) AS max_points FROM (
+  SELECT 100 * (a.removed_risk - b.removed_risk) AS d FROM curves a JOIN curves b ON a.graph_id = b.graph_id AND a.scenario = b.scenario AND a.budget = b.budget WHERE a.strategy = 'impact' AND b.strategy = 'edge_betweenness' AND a.scenario = 'uniform_10pct' AND a.budget = '10pct')""",
+    "deepest_graphs": BASE + " SELECT * FROM (SELECT g AS graph_id, count(*) AS n, (SELECT count(*) FROM e WHERE e.g = lv.g) AS m, max(level) AS depth FROM lv GROUP BY g) ORDER BY depth DESC, m DESC, graph_id LIMIT 5",
     "lineage_questions": ASKED
     + f""" SELECT g || '_lineage_' || (['fwd', 'rev', 'trans', 'combined', 'multisrc'])[part] || '_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS id, g AS dataset, 'lineage_impact' AS type, s AS subtype, {QUESTION_TEXT} AS question, answer, 'list' AS answer_type, CASE WHEN part <= 2 THEN 'easy' ELSE 'hard' END AS difficulty FROM numbered""",
     "gold_parity": ASKED

@@ -11,6 +11,7 @@ from edgeloom.functions import seeded
 from edgeloom.operators import answers as A
 from edgeloom.operators import edits as E
 from edgeloom.operators import priority as P
+from edgeloom.operators import sensitivity as N
 from edgeloom.operators import stats as S
 from edgeloom.operators.graphs import Graphs
 from edgeloom.sources import projects as X
@@ -122,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scenario_macro": _on("multi", lambda g: P.scenario_macro(P.budget_curves(g))),
     "pairwise_wins": _on("multi", lambda g: P.pairwise_wins(P.budget_curves(g))),
     "priority_rank_correlation": _on("multi", P.impact_rank_correlation),
+    "rank_sensitivities": _on("multi", lambda g: N.sensitivities(N.corpus_rows(g), drop_prefix="p1")),
+    "priority_advantage": _on("multi", lambda g: N.advantage(P.budget_curves(g))),
+    "deepest_graphs": _on("multi", lambda g: N.deepest(g.sizes.select("graph_id", "n", "m", "depth"), 5)),
     "lineage_questions": _on("multi", A.questions),
     "gold_parity": lambda spark, sf_dir: A.parity(graphs(spark, sf_dir), _gold(spark, sf_dir)),
     "ref_extraction": lambda spark, sf_dir: X.references(X.model_files(project_files(spark, sf_dir))).select("project", "model", "ref"),
@@ -135,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sampled_deletions": _on("multi", lambda g: seeded.sampled_edits(g, "delete", 2, seed=7)),
     "layered_null": _on("multi", lambda g: seeded.layered_null(g, 20)),
     "null_summary": _on("multi", lambda g: seeded.null_summary(g, 20)),
+    "null_exceedance": _on("multi", lambda g: N.null_exceedance(seeded.null_summary(g, 20))),
     "random_curve": _on("multi", seeded.random_curves),
     "permutation_and_bootstrap": _on("multi", lambda g: seeded.resampled(_relation(g), "multi_path_fraction", "gap", "graph_id", times=1000)),
     "topology_classes": _on("multi", seeded.topology_classes),

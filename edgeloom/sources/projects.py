@@ -24,11 +24,26 @@ MANIFEST = "metadata struct<project_name: string>, nodes map<string, struct<reso
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All SQL and YAML files under the project folders of ``root``."""
+    """All SQL and YAML files under the project folders of ``root``; empty files are files too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sql,yml,yaml,SQL,YML,YAML,Yml,Yaml}").load(root)
-    inside = F.regexp_extract(F.url_decode("path"), r"^(?:[a-z]+:/*)?(.*)$", 1)
-    rest = F.substring_index(inside, root.rstrip("/").split("://")[-1].strip("/") + "/", -1)
-    return files.select(F.substring_index(rest, "/", 1).alias("project"), F.regexp_extract(rest, r"^[^/]+/(.*)$", 1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).filter("path <> ''")
+    full = files.select(F.url_decode("path").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    bare = spark.createDataFrame([(p, "") for p in empty_files(spark, root)], "path string, text string")
+    inside = F.substring_index("path", root.rstrip("/").split("://")[-1].strip("/") + "/", -1)
+    rows = full.unionByName(bare).withColumn("inside", inside)
+    return rows.select(F.substring_index("inside", "/", 1).alias("project"), F.regexp_extract("inside", r"^[^/]+/(.*)$", 1).alias("path"), "text").filter("path <> ''")
+
+
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the empty SQL and YAML files, which Spark's own listing leaves out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listing.hasNext():
+        file = listing.next()
+        name = file.getPath().toString()
+        if file.getLen() == 0 and name.lower().endswith((".sql", ".yml", ".yaml")):
+            out.append(name)
+    return out
 
 
 def projects(files: DataFrame) -> DataFrame:
