@@ -1,49 +1,48 @@
 """Distributed connected components: alternating large-star and small-star steps.
 
-Links are (a, b) pairs of ids.  Each step groups only minima, joins them back, and
-writes its links to the shared folder, so that no lineage grows and nothing is
-collected.  A node with very many links is a skewed join key whose other side is one
-row; adaptive execution splits it.
+Links are (a, b) pairs of ids.  A step is one shuffle: links are grouped by a node, whose
+least neighbour a window finds, and each row is sent on to it; no neighbourhood is held
+in memory (long ones spill), and nothing is collected.  A round's links are written to
+the shared folder, so that no lineage grows.  A round in which no link moves is the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.shared import materialize
 
 
-def _both(links: DataFrame) -> DataFrame:
-    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _large(links: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node goes to the least of the node and its neighbours."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
+    return both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("a")).alias("moved"))
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Large star: every larger neighbour of a node goes to the node's least neighbour; small star: every smaller one, and the node, does."""
-    near = _both(links) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = materialize(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n"), "least")
-    joined = near.join(least, near["a"] == least["n"])
-    if large:
-        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+def _small(links: DataFrame) -> DataFrame:
+    """A node, and every smaller neighbour of it, goes to its least smaller neighbour."""
+    near = Window.partitionBy("a")
+    low = links.withColumn("m", F.min("b").over(near)).withColumn("other", F.col("b") != F.col("m"))
+    # the row of the least neighbour keeps the node itself; each other row carries its neighbour on
+    return low.select(F.when(F.col("other"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (F.col("moved") | F.col("other")).alias("moved")).filter("a <> b")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id`` and ``component_id`` (the least id it can reach) of each id that has a link.
 
-    Self links and repeated links are allowed; null ids must not occur.  Raises if the
-    links aren't stars after ``rounds`` rounds (they are after a few: the number grows with the logarithm of the longest path).
+    Self links and repeated links are allowed; null ids must not occur.  Raises if links
+    still move after ``rounds`` rounds (a few do: the number grows with the logarithm of the
+    longest path).
     """
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    state = None
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    links = materialize(links.withColumn("moved", F.lit(False)), "links")
     for _ in range(rounds):
-        links = materialize(_star(materialize(_star(links, large=True), "large"), large=False), "small")
-        new = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == state:
+        links = materialize(_small(_large(links)), "links")
+        if links.filter("moved").isEmpty():
             break
-        state = new
     else:
-        raise RuntimeError(f"links are not stars after {rounds} rounds")
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
+        raise RuntimeError(f"links still move after {rounds} rounds")
+    pairs = links.select("a", "b").distinct()
+    return pairs.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())

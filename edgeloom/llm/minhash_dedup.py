@@ -11,12 +11,14 @@ Texts with equal sets form a class first; only classes go on.  A sketch is cut i
 
 1. Of the centres (least ids) of its bands' buckets, each class is checked against the
    one that its sketch is closest to.  Links found so make components.
-2. Only candidates that are still in different components are then paired, unless two
-   fingerprints of all coordinates show that they can't reach the threshold.
+2. Classes joined by candidates, whether verified or not, make groups.  Groups that
+   still hold several components are dealt into blocks of about ``BLOCK`` classes, and each
+   pair of blocks meets in one task.  Fingerprints of all coordinates rule out pairs that
+   can't reach the threshold; the others are checked, nearest first, unless their
+   components have been joined meanwhile.
 
-Every candidate link is checked on the full sets before it counts.  Pairs inside a
-component are never emitted, so a group of thousands of near copies costs a few pairs a
-member.  Hot band keys and hot centres are joined to one row, or to parts of ``SALT_ROWS``.
+Every candidate link is checked on the full sets before it counts.  No table of a
+group's pairs is ever made: a group of m classes sends m * (m / ``BLOCK`` + 1) rows.  A hot centre's partners are checked in ``SALTS`` parts.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.  A text
 with fewer words than a shingle is one shingle; a null text or one without words has
@@ -42,7 +44,8 @@ from edgeloom.llm.shared import materialize, mix64, slices
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-SALT_ROWS = 500
+SALTS = 64
+BLOCK = 256
 #: Longs of a fingerprint: one bit a coordinate, twice.
 PRINTS = 2 * COORDINATES // 64
 
@@ -158,19 +161,17 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.
+    """The pairs (a, b) whose sets reach the threshold; ``pairs`` are distinct.
 
-    A centre a meets its partners in parts of about ``SALT_ROWS``; texts are joined once, to
-    the list of parts in which they are wanted, and each part is streamed: first the
-    centre's set, then its partners one by one.
+    A centre a meets its partners in ``SALTS`` parts, by a hash of the partner; a part has one
+    copy of the centre's text.  Parts are streamed: first the centre's set, then its
+    partners one by one.
     """
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    hot = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts")), "parts").withColumnRenamed("a", "c")
-    salted = pairs.join(hot, pairs["a"] == hot["c"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    wanted = salted.select(F.col("b").alias("w"), "a", "salt", F.lit(1).alias("role")).unionByName(hot.select(F.col("c").alias("w"), F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role")))
+    salted = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
+    wanted = salted.select(F.col("b").alias("w"), "a", "salt", F.lit(1).alias("role")).unionByName(salted.select("a", "salt").distinct().select(F.col("a").alias("w"), "a", "salt", F.lit(0).alias("role")))
     rows = texts.join(wanted, texts["id"] == wanted["w"]).select("a", "salt", "role", F.col("id").alias("b"), "z")
     kind = pairs.schema["a"].dataType.simpleString()
-    tenths = round(threshold * 100)
+    hundredths = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -183,47 +184,106 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
                     centre, own = a, s
                 elif centre == a and len(s) and len(own):
                     common = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * common >= tenths * (len(own) + len(s) - common):
+                    if 100 * common >= hundredths * (len(own) + len(s) - common):
                         links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], batch.schema.field("a").type), pa.array([y for _, y in links], batch.schema.field("a").type)], names=["a", "b"])
 
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b").select("a", "role", "b", "z").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def cross_links(open_: DataFrame, prints: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links (a, b) between classes of one group ``g`` and different components ``c``, enough of them to join all components that are linked."""
+    full = open_.join(prints, open_["id"] == prints["p"]).drop("p").join(texts.withColumnRenamed("id", "t"), F.col("id") == F.col("t")).drop("t")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = full.withColumn("own", own).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("own", "s").alias("i"), F.greatest("own", "s").alias("j"), "own", "id", "c", "prints", "z")
+    kind = open_.schema["id"].dataType.simpleString()
+    limit, hundredths = far_bits(threshold), round(threshold * 100)
+
+    def meet(key, table):
+        open_ = zstandard.ZstdDecompressor()
+        ids, comp, z = (table.column(x).to_pylist() for x in ("id", "c", "z"))
+        own = table.column("own").to_numpy()
+        bits = np.array(table.column("prints").to_pylist(), dtype=np.int64).view(np.uint64)
+        names = {x: i for i, x in enumerate(dict.fromkeys(comp))}
+        c = np.array([names[x] for x in comp])
+        up = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(ids)),) * 2
+        half = PRINTS // 2
+        far = np.zeros((len(left), len(right)), np.int64)
+        for k in range(half):
+            far += np.bitwise_count((bits[left, k][:, None] ^ bits[right, k]) | (bits[left, k + half][:, None] ^ bits[right, k + half]))
+        near = (far < limit) & (c[left][:, None] != c[right])
+        if i == j:
+            near &= left[:, None] < right
+        x, y = np.nonzero(near)
+        order = np.argsort(far[x, y], kind="stable")
+        sets: dict[int, np.ndarray] = {}
+        links = []
+        for a, b in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+            if root(c[a]) == root(c[b]):
+                continue
+            for d in (a, b):
+                if d not in sets:
+                    sets[d] = shingles(open_.decompress(z[d]).decode(), n)
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= hundredths * (len(sets[a]) + len(sets[b]) - common):
+                up[root(c[a])] = root(c[b])
+                links.append((ids[a], ids[b]))
+        kind_ = table.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind_), "b": pa.array([b for _, b in links], kind_)})
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` of each row of ``docs``."""
     rows = materialize(sketched(docs, n, key, text), "sketches")
-    classes = materialize(rows.filter("id is not null and same is not null").groupBy("same").agg(F.min("id").alias("rep")), "classes")
-    member = rows.filter("id is not null and same is not null").join(classes, "same").select("id", "rep", "same", "keys", "prints")
-    lead = member.filter("id = rep").dropDuplicates(["id", "same"])
-    bands = materialize(lead.select("id", F.explode("keys").alias("k")), "bands")
-    buckets = materialize(bands.groupBy("k").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).filter("_n > 1"), "buckets").withColumnRenamed("k", "bk")
+    usable = rows.filter("id is not null and same is not null")
+    classes = materialize(usable.groupBy("same").agg(F.min("id").alias("rep")), "classes")
+    # copies keep their representative only; its sketch stands for them all
+    first_row = F.col("id") == F.col("rep")
+    member = usable.join(classes, "same").select("id", "rep", F.when(first_row, F.col("keys")).alias("keys"), F.when(first_row, F.col("prints")).alias("prints"))
+    member = materialize(member, "members")
+    lead = member.filter("id = rep").select("id", "keys", "prints")
+    repeats = _repeats(docs, key)
+    if repeats:
+        lead = lead.dropDuplicates(["id", "keys"])
+    bands = lead.select("id", F.explode("keys").alias("k"))
+    buckets = bands.groupBy("k").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).filter("_n > 1").withColumnRenamed("k", "bk")
     shared = materialize(bands.join(buckets, bands["k"] == buckets["bk"]).select("id", "k", "centre"), "shared")
-    prints = materialize(lead.select(F.col("id").alias("p"), "prints"), "prints")
-    texts = packed(docs, key, text).dropDuplicates(["id"]) if _repeats(docs, key) else packed(docs, key, text)
+    prints = lead.select(F.col("id").alias("p"), "prints")
+    texts = packed(docs, key, text).dropDuplicates(["id"]) if repeats else packed(docs, key, text)
     limit = far_bits(threshold)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """(a, b) with their prints' distance, where it doesn't rule them out."""
-        left, right = prints.withColumnsRenamed({"p": "pa", "prints": "xa"}), prints.withColumnsRenamed({"p": "pb", "prints": "xb"})
-        both = pairs.join(left, pairs["a"] == left["pa"]).join(right, F.col("b") == right["pb"])
-        return both.withColumn("far", distance("xa", "xb")).filter(F.col("far") < limit).select("a", "b", "far")
-
-    star = close(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    left, right = prints.withColumnsRenamed({"p": "pa", "prints": "xa"}), prints.withColumnsRenamed({"p": "pb", "prints": "xb"})
+    star = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(left, star["a"] == left["pa"]).join(right, F.col("b") == right["pb"]).withColumn("far", distance("xa", "xb")).filter(F.col("far") < limit)
     nearest = star.groupBy("b").agg(F.min(F.struct("far", "a")).alias("s")).select("s.a", "b")
-    found = materialize(verified(nearest, texts, n, threshold), "links")
-    same = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    first = components(found)
-
-    parts = materialize(shared.join(first.withColumnsRenamed({"id": "i", "component_id": "c"}), F.col("id") == F.col("i"), "left").select("id", "k", F.coalesce("c", "id").alias("c")), "parts")
-    mixed = materialize(parts.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select(F.col("k").alias("mk")), "mixed")
-    open_ = parts.join(mixed, parts["k"] == mixed["mk"]).join(prints, F.col("id") == F.col("p")).select("id", "k", "c", "prints")
-    left, right = (materialize(open_.select(*[F.col(x).alias(f"{x}{s}") for x in ("id", "k", "c", "prints")]), "open") for s in "12")
-    rest = left.join(right, (F.col("k1") == F.col("k2")) & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & (distance("prints1", "prints2") < limit))
-    again = materialize(verified(rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")), texts, n, threshold), "links")
-    final = components(first.filter("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(again).unionByName(same))
-    final = final.withColumnsRenamed({"id": "i", "component_id": "c"})
-    out = rows.join(final, F.col("id") == F.col("i"), "left")
+    first = materialize(components(verified(nearest, texts, n, threshold)), "components").withColumnsRenamed({"id": "i", "component_id": "c"})
+
+    group = components(shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    open_ = group.join(first, F.col("id") == F.col("i"), "left").select("id", F.col("component_id").alias("g"), F.coalesce("c", "id").alias("c"))
+    open_ = materialize(open_, "open")
+    several = open_.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").withColumnRenamed("g", "og")
+    again = cross_links(open_.join(several, open_["g"] == several["og"]).select("id", "g", "c", "blocks"), prints, texts, n, threshold)
+    # the second round joins components: only they, not their members, are linked again
+    one, two = first.select(F.col("i").alias("a"), F.col("c").alias("ca")), first.select(F.col("i").alias("b"), F.col("c").alias("cb"))
+    joined = again.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = components(joined).withColumnsRenamed({"id": "i2", "component_id": "c2"})
+    every = lead.select(F.col("id").alias("r")).distinct().join(first, F.col("r") == F.col("i"), "left").select("r", F.coalesce("c", "r").alias("c"))
+    every = materialize(every.join(second, F.col("c") == F.col("i2"), "left").select("r", F.coalesce("c2", "c").alias("c")), "groups")
+    final = member.select("id", "rep").join(every, F.col("rep") == F.col("r")).select(F.col("id").alias("i"), "c")
+    if repeats:
+        final = components(final.select(F.col("i").alias("a"), F.col("c").alias("b"))).select(F.col("id").alias("i"), F.col("component_id").alias("c"))
+    out = rows.select("id", "n").join(final, F.col("id") == F.col("i"), "left")
     component = F.coalesce(F.col("c"), F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
