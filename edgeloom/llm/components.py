@@ -1,30 +1,37 @@
 """Distributed connected components: alternating large-star and small-star steps.
 
-Links are (a, b) pairs of ids.  A step is one shuffle: links are grouped by a node, whose
-least neighbour a window finds, and each row is sent on to it; no neighbourhood is held
-in memory (long ones spill), and nothing is collected.  A round's links are written to
+Links are (a, b) pairs of ids.  A step finds each node's least neighbour by an aggregation,
+which combines before its shuffle, and joins it back to the links; a hub's links are split
+over tasks by the join, or stay where they are if the least neighbours are few enough to
+broadcast.  Links that a step makes equal are merged before they are shuffled.  No
+neighbourhood is held in memory and nothing is collected.  A round's links are written to
 the shared folder, so that no lineage grows.  A round in which no link moves is the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.shared import materialize
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """``links`` with ``m``, the least ``b`` of their ``a``."""
+    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
+    return links.join(least, links["a"] == least["node"]).drop("node")
+
+
 def _large(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the least of the node and its neighbours."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-    return both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("a")).alias("moved"))
+    near = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"), (F.col("m") < F.col("a")).alias("moved"))
+    return near.groupBy("a", "b").agg(F.max("moved").alias("moved"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    """A node, and every smaller neighbour of it, goes to its least smaller neighbour."""
-    near = Window.partitionBy("a")
-    low = links.withColumn("m", F.min("b").over(near)).withColumn("other", F.col("b") != F.col("m"))
+    """A node, and every smaller neighbour of it, goes to its least smaller neighbour; ``links`` are distinct."""
+    low = _with_least(links).withColumn("other", F.col("b") != F.col("m"))
     # the row of the least neighbour keeps the node itself; each other row carries its neighbour on
     return low.select(F.when(F.col("other"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (F.col("moved") | F.col("other")).alias("moved")).filter("a <> b")
 

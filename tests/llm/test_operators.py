@@ -29,6 +29,7 @@ def prose(rng, n, words=400):
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(200, 230)] + [(70, 71), (71, 70), (5, 5)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    pairs += [(9000, x) for x in range(2000, 2300)] + [(x, 1900) for x in range(2000, 2300, 7)]  # a hub above its neighbours, and one below
     up: dict[int, int] = {}
 
     def root(x):
