@@ -7,7 +7,7 @@ more between a pair show as more edges on its paths than nodes less one.
 
 from __future__ import annotations
 
-from edgeloom.plans.queries import DENSE, FK, MULTI
+from edgeloom.plans.queries import DENSE, DENSE_ALL, FK, FK_ALL, MULTI, MULTI_ALL
 
 BASE = f"""
 WITH RECURSIVE e AS (SELECT 'p' || project AS g, src::INT AS u, dst::INT AS v FROM ({MULTI})),
@@ -300,3 +300,4 @@ SELECT coalesce(s.project, m.project) AS project, count(s.src) AS static_edges,
 FROM stat s FULL JOIN man m ON s.project = m.project AND s.src = m.src AND s.dst = m.dst GROUP BY 1""",
 }
 ORACLES["deletion_severity_dense"] = ORACLES["deletion_severity"].replace(MULTI, DENSE).replace("range(12)", "range(24)")
+ORACLES |= {f"{name}_all": sql.replace(MULTI, MULTI_ALL).replace(DENSE, DENSE_ALL).replace(FK, FK_ALL) for name, sql in ORACLES.items()}
