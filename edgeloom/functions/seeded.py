@@ -39,34 +39,36 @@ def sampled_edits(g: Graphs, kind: str, count: int, seed: int = 0, protected: Da
     return every.groupBy("graph_id").applyInPandas(draw, "graph_id string, kind string, u int, v int")
 
 
-def layered_null(g: Graphs, seeds: int = 20) -> DataFrame:
+def layered_null(g: Graphs, seeds: int = 200) -> DataFrame:
     """Random graphs with each node's level and the number of edges kept: ``graph_id, seed, src, dst``.
 
     In node order each node above level 0 draws a parent from the level below; then the
     other edges are drawn from all pairs from a lower to a higher level.
     """
     rows = g.levels.join(g.sizes.select("graph_id", "m"), "graph_id").filter("m > 0")
-    every = rows.select("graph_id", "node_id", "level", "m", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = dict(sorted(zip(pdf.node_id.tolist(), pdf.level.tolist(), strict=True)))
-        seed, m = int(pdf.seed.iloc[0]), int(pdf.m.iloc[0])
-        members: dict[int, list[int]] = {}
-        for node, k in level.items():
-            members.setdefault(k, []).append(node)
+    def sample(level: dict[int, int], members: dict[int, list[int]], m: int, seed: int) -> list[tuple[int, int]]:
         rng = random.Random(seed)
         edges = {(rng.choice(members[k - 1]), node) for node, k in level.items() if k > 0}
         open_ = [(u, v) for u in level for v in level if level[u] < level[v] and (u, v) not in edges]
         if not 0 <= m - len(edges) <= len(open_):
             raise ValueError("the levels do not fit the number of edges")
         edges.update(rng.sample(open_, m - len(edges)))
-        out = sorted(edges)
-        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "seed": seed, "src": [u for u, _ in out], "dst": [v for _, v in out]}).astype({"seed": "int32", "src": "int32", "dst": "int32"})
+        return sorted(edges)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = dict(sorted(zip(pdf.node_id.tolist(), pdf.level.tolist(), strict=True)))
+        members: dict[int, list[int]] = {}
+        for node, k in level.items():
+            members.setdefault(k, []).append(node)
+        out = [(seed, u, v) for seed in range(seeds) for u, v in sample(level, members, int(pdf.m.iloc[0]), seed)]
+        seed, src, dst = zip(*out, strict=True)
+        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "seed": seed, "src": src, "dst": dst}).astype({"seed": "int32", "src": "int32", "dst": "int32"})
 
-    return every.groupBy("graph_id", "seed").applyInPandas(draw, "graph_id string, seed int, src int, dst int")
+    return rows.select("graph_id", "node_id", "level", "m").groupBy("graph_id").applyInPandas(draw, "graph_id string, seed int, src int, dst int")
 
 
-def null_graphs(g: Graphs, seeds: int = 20) -> Graphs:
+def null_graphs(g: Graphs, seeds: int = 200) -> Graphs:
     """The null samples as graphs of their own, named ``<graph>-null-<seed>``."""
     name = F.concat("graph_id", F.lit("-null-"), F.col("seed").cast("string"))
     edges = layered_null(g, seeds).select(name.alias("graph_id"), "src", "dst")
@@ -74,7 +76,7 @@ def null_graphs(g: Graphs, seeds: int = 20) -> Graphs:
     return Graphs(nodes, edges)
 
 
-def null_summary(g: Graphs, seeds: int = 20) -> DataFrame:
+def null_summary(g: Graphs, seeds: int = 200) -> DataFrame:
     """Per graph: observed concentration of severity against the nulls' mean and 2.5 to 97.5 percentiles."""
     s = severity_summary(null_graphs(g, seeds)).withColumn("g", F.regexp_extract("graph_id", r"^(.*)-null-\d+$", 1))
     stats = []

@@ -146,11 +146,11 @@ def _registered(multi: str, dense: str) -> dict[str, Callable[[SparkSession, str
         "manifest_diff": lambda spark, sf_dir: X.manifest_diff(X.static_edges(X.model_files(project_files(spark, sf_dir, multi))), X.manifest_edges(manifest_table(spark, sf_dir, multi))),
         "sampled_additions": _on(multi, lambda g: seeded.sampled_edits(g, "add", 2, seed=7)),
         "sampled_deletions": _on(multi, lambda g: seeded.sampled_edits(g, "delete", 2, seed=7)),
-        "layered_null": _on(multi, lambda g: seeded.layered_null(g, 20)),
-        "null_summary": _on(multi, lambda g: seeded.null_summary(g, 20)),
-        "null_exceedance": _on(multi, lambda g: N.null_exceedance(seeded.null_summary(g, 20))),
+        "layered_null": _on(multi, seeded.layered_null),
+        "null_summary": _on(multi, seeded.null_summary),
+        "null_exceedance": _on(multi, lambda g: N.null_exceedance(seeded.null_summary(g))),
         "random_curve": _on(multi, seeded.random_curves),
-        "permutation_and_bootstrap": _on(multi, lambda g: seeded.resampled(_relation(g), "multi_path_fraction", "gap", "graph_id", times=1000)),
+        "permutation_and_bootstrap": _on(multi, lambda g: seeded.resampled(_relation(g), "multi_path_fraction", "gap", "graph_id")),
         "topology_classes": _on(multi, seeded.topology_classes),
     }
 
