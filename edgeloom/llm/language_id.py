@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.shared import flat, fold, mix64, slices, thinned
+from edgeloom.llm.shared import flat, fold, materialize, mix64, slices
 
 GRAM = 5
 PROBES = 3
@@ -74,15 +74,17 @@ class LanguageFilters:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 8000, gram_limit: int = 400_000, min_count: int = 3, min_ratio: float = 0.2, bits: int = 21) -> LanguageFilters:
-    """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the key.
+    """Fit on about ``sample_rows`` labelled rows of each language, chosen by a hash of the key; all rows of a rarer one.
 
-    An n-gram joins a language's filter if it occurs ``min_count`` times there and its
-    share of that language's n-grams is at least ``min_ratio`` of its largest share;
-    ``gram_limit`` bounds the n-grams that are kept, the most frequent first.
+    An n-gram joins a language's filter if it occurs ``min_count`` times there (as often as
+    the most frequent one, where none does) and its share of that language's n-grams is at
+    least ``min_ratio`` of its largest share; ``gram_limit`` bounds the n-grams of each
+    language, the most frequent first.
     """
     labelled = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang")).filter("_lang is not null and _text is not null")
-    total = labelled.select("_key").count()
-    sample = labelled.filter(thinned("_key", total, sample_rows))
+    totals = labelled.groupBy("_lang").agg(F.count("*").alias("_total"))
+    share = F.when(F.col("_total") <= sample_rows, 1_000_000).otherwise(F.greatest(F.lit(1), F.floor(F.lit(sample_rows * 1_000_000) / F.col("_total"))))
+    sample = labelled.join(F.broadcast(totals), "_lang").filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < share).select("_key", "_text", "_lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +97,11 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
                 yield pa.RecordBatch.from_arrays([pa.array([known[int(i)] for i in both[0]], pa.string()), pa.array(both[1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["_lang", "gram", "n"])
 
     each = sample.mapInArrow(counted, "_lang string, gram long, n long").groupBy("gram", "_lang").agg(F.sum("n").alias("n"))
-    kept = each.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "gram", "_lang").limit(gram_limit)
-    rows = kept.toArrow()
+    each = materialize(each, "language-grams")
+    least = each.groupBy("_lang").agg(F.least(F.lit(min_count), F.max("n")).alias("_least"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "gram"))
+    kept = each.join(F.broadcast(least), "_lang").filter("n >= _least").withColumn("_place", place).filter(F.col("_place") <= gram_limit)
+    rows = kept.select("_lang", "gram", "n").toArrow()
     languages = sorted(set(rows.column("_lang").to_pylist()))
     if not languages:
         return LanguageFilters([], [], 3)
