@@ -45,6 +45,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: A gzip header with one extra field, ``sl`` of 8 bytes; two 32-bit lengths follow.
 MEMBER = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
 FIRST_BYTES = 8 << 10
+#: Bytes that a step of inflating a record's headers gives at most.
+STEP = 1 << 10
+BLANK = b"\r\n\r\n"
 UNKNOWN = 0xFFFFFFFF
 
 
@@ -140,6 +143,44 @@ class Bytes:
         return self.size
 
 
+class Opening:
+    """The beginning of a member's content, inflated in small steps as far as it is asked for."""
+
+    def __init__(self, file: Bytes, at: int):
+        self.file, self.at, self.rest, self.held = file, at, b"", b""
+        self.open_ = zlib.decompressobj(-15)
+
+    def more(self) -> bool:
+        if self.open_.eof:
+            return False
+        if not self.rest:
+            self.rest = self.file.read(self.at, FIRST_BYTES)
+            self.at += len(self.rest)
+            if not self.rest:
+                return False
+        self.held += self.open_.decompress(self.rest, STEP)
+        self.rest = self.open_.unconsumed_tail
+        return True
+
+    def blank(self, start: int, end: int | None = None) -> int:
+        """Where the first blank line from ``start`` on ends, or where the content or ``end`` does."""
+        seen = start
+        while (i := self.held.find(BLANK, seen, end)) < 0:
+            seen = max(start, len(self.held) - len(BLANK) + 1)
+            if (end is not None and len(self.held) >= end) or not self.more():
+                return len(self.held) if end is None else min(end, len(self.held))
+        return i + len(BLANK)
+
+    def payload_length(self, fields: dict[str, str], begin: int) -> int:
+        """What ``payload_of`` would say of the block that begins there, from its headers alone."""
+        size = int(fields.get("content-length", 0))
+        if not fields.get("content-type", "").startswith("application/http"):
+            return size
+        end = self.blank(begin, begin + size)
+        stated = parse_headers(self.held[begin:end].removesuffix(BLANK)).get("content-length", "")
+        return int(stated) if stated.isdigit() else begin + size - end
+
+
 def hopping(file: Bytes, start: int, end: int, wanted, payloads: bool) -> Iterator[dict]:
     """Records of the members that begin in [start, end) of a file with skip lengths."""
     at = 0 if start == 0 else file.find(MEMBER, start)
@@ -150,25 +191,23 @@ def hopping(file: Bytes, start: int, end: int, wanted, payloads: bool) -> Iterat
             continue
         size, _ = struct.unpack("<II", fixed[len(MEMBER) :])
         body = at + len(fixed)
-        first = zlib.decompressobj(-15)
-        head = first.decompress(file.read(body, FIRST_BYTES))
-        got = FIRST_BYTES
-        while b"\r\n\r\n" not in head and not first.eof and body + got < file.size:
-            head += first.decompress(file.read(body + got, FIRST_BYTES))
-            got += FIRST_BYTES
-        if not head.startswith(b"WARC/"):
+        opening = Opening(file, body)
+        while len(opening.held) < 5 and opening.more():
+            pass
+        if not opening.held.startswith(b"WARC/"):
             at = file.find(MEMBER, at + 1)  # these bytes stand inside another member
             continue
-        fields = parse_headers(head.partition(b"\r\n\r\n")[0])
+        begin = opening.blank(0)
+        fields = parse_headers(opening.held[:begin].removesuffix(BLANK))
         row = header_columns(fields)
         known = size != UNKNOWN
         if wanted(row):
             if payloads or not known:
                 raw = zlib.decompressobj(-15).decompress(file.read(body, size - len(fixed) - 8)) if known else _inflate(file, body)
                 block = raw[raw.index(b"\r\n\r\n") + 4 :][: int(fields.get("content-length", 0))]
+                length, body_bytes = payload_of(fields, block)
             else:
-                block = head.partition(b"\r\n\r\n")[2]
-            length, body_bytes = payload_of(fields, block)
+                length, body_bytes = opening.payload_length(fields, begin), None
             yield row | {"payload_length": length, "payload": body_bytes if payloads and row["record_type"] != "revisit" else None}
         at = at + size if known else file.find(MEMBER, body)
 
