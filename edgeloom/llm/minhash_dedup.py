@@ -147,7 +147,7 @@ def sketched(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id`` and compressed text, for the shuffle; rows with null ids or texts are left out, and of a repeated id one row stays."""
+    """``id`` and compressed text, for the shuffle; rows with null ids or texts are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -245,6 +245,8 @@ def cross_links(open_: DataFrame, prints: DataFrame, texts: DataFrame, n: int, t
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` of each row of ``docs``."""
+    if _repeats(docs, key):
+        return _by_text(docs, n, threshold, key, text)
     rows = materialize(sketched(docs, n, key, text), "sketches")
     usable = rows.filter("id is not null and same is not null")
     classes = materialize(usable.groupBy("same").agg(F.min("id").alias("rep")), "classes")
@@ -253,14 +255,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, key:
     member = usable.join(classes, "same").select("id", "rep", F.when(first_row, F.col("keys")).alias("keys"), F.when(first_row, F.col("prints")).alias("prints"))
     member = materialize(member, "members")
     lead = member.filter("id = rep").select("id", "keys", "prints")
-    repeats = _repeats(docs, key)
-    if repeats:
-        lead = lead.dropDuplicates(["id", "keys"])
     bands = lead.select("id", F.explode("keys").alias("k"))
     buckets = bands.groupBy("k").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).filter("_n > 1").withColumnRenamed("k", "bk")
     shared = materialize(bands.join(buckets, bands["k"] == buckets["bk"]).select("id", "k", "centre"), "shared")
     prints = lead.select(F.col("id").alias("p"), "prints")
-    texts = packed(docs, key, text).dropDuplicates(["id"]) if repeats else packed(docs, key, text)
+    texts = packed(docs, key, text)
     limit = far_bits(threshold)
 
     left, right = prints.withColumnsRenamed({"p": "pa", "prints": "xa"}), prints.withColumnsRenamed({"p": "pb", "prints": "xb"})
@@ -281,16 +280,31 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, key:
     every = lead.select(F.col("id").alias("r")).distinct().join(first, F.col("r") == F.col("i"), "left").select("r", F.coalesce("c", "r").alias("c"))
     every = materialize(every.join(second, F.col("c") == F.col("i2"), "left").select("r", F.coalesce("c2", "c").alias("c")), "groups")
     final = member.select("id", "rep").join(every, F.col("rep") == F.col("r")).select(F.col("id").alias("i"), "c")
-    if repeats:
-        final = components(final.select(F.col("i").alias("a"), F.col("c").alias("b"))).select(F.col("id").alias("i"), F.col("component_id").alias("c"))
     out = rows.select("id", "n").join(final, F.col("id") == F.col("i"), "left")
     component = F.coalesce(F.col("c"), F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _by_text(docs: DataFrame, n: int, threshold: float, key: str, text: str) -> DataFrame:
+    """The same where ids repeat: each (id, text) is a node of its own, and an id joins the components of all its texts."""
+    name = F.concat(F.col(key).cast("string"), F.lit(" "), F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit("")))
+    tagged = docs.select(F.col(key).alias("_id"), name.alias("_node"), F.col(text).alias("_text"))
+    named = tagged.filter("_node is not null")
+    single = named.select("_node", "_text").dropDuplicates(["_node"]).unionByName(tagged.filter("_node is null").select("_node", "_text"))
+    found = materialize(near_duplicates(single, n=n, threshold=threshold, key="_node", text="_text"), "nodes")
+    rows = materialize(named.select("_id", "_node").join(found.filter("_node is not null"), "_node").select("_id", "n_shingles", F.col("component_id").alias("_c")), "rows")
+    least = rows.groupBy("_c").agg(F.min("_id").alias("b"))
+    links = rows.join(least, "_c").filter("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
+    joined = components(links).withColumnsRenamed({"id": "_i", "component_id": "_least"})
+    out = rows.join(joined, F.col("_id") == F.col("_i"), "left").withColumn("component_id", F.coalesce("_least", "_id"))
+    out = out.select("_id", "n_shingles", "component_id", (F.col("component_id") == F.col("_id")).alias("kept"))
+    nameless = found.filter("_node is null").withColumn("_id", F.lit(None).cast(docs.schema[key].dataType)).select("_id", "n_shingles", F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(nameless).withColumnRenamed("_id", key).select(key, "n_shingles", "component_id", "kept")
+
+
 def _repeats(docs: DataFrame, key: str) -> bool:
     """Has some id more than one row?"""
-    return bool(docs.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").head(1))
+    return bool(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").head(1))
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
