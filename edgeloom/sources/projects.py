@@ -212,6 +212,16 @@ def manifest_diff(static: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.groupBy("project").agg(F.count("s").alias("static_edges"), F.count("m").alias("manifest_edges"), F.count_if(F.expr("s is not null and m is not null")).alias("shared_edges"), F.count_if(F.expr("m is null")).alias("static_only_edges"), F.count_if(F.expr("s is null")).alias("manifest_only_edges"))
 
 
+def compare_projects(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``manifest_diff`` of every project folder with both ``dbt_project.yml`` and ``profiles.yml``; ``parse_succeeded`` is whether it has a manifest."""
+    marks = files.filter("path in ('dbt_project.yml', 'profiles.yml')").groupBy("project").agg(F.countDistinct("path").alias("marks"))
+    scanned = marks.filter("marks = 2").select("project")
+    own = manifests.join(scanned, "project", "left_semi")
+    diff = manifest_diff(static_edges(model_files(files.join(scanned, "project", "left_semi"))), manifest_edges(own))
+    parsed = own.select("project").distinct().withColumn("parse_succeeded", F.lit(True))
+    return scanned.join(parsed, "project", "left").join(diff, "project", "left").fillna(False, ["parse_succeeded"]).fillna(0)
+
+
 def question_rows(spark: SparkSession, path: str) -> DataFrame:
     """Question rows of a JSON-lines file, or of a file with one JSON array; answers become sorted names joined by commas."""
     lines = path.endswith(".jsonl")
