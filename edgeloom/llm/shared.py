@@ -7,8 +7,7 @@ lost executor costs a re-read and not a recomputation of its whole lineage.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; in a local session without one, an own folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark, "_edgeloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='edgeloom-')}"
-        spark._edgeloom_dir = where
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/edgeloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the copy."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from edgeloom.plans.storage import discard, materialize, new_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +60,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: str, total: int, how: str = "inner", hubs: int = 256, salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row a key with the key's number of rows ``n``.
+
+    A key with more than one in ``hubs`` of the ``total`` rows is hot.  There are few of
+    those, so they are broadcast; a hot key's rows are dealt over ``salts`` keys by a hash
+    of column ``by``, and its group is copied to each.  No row has a null key.
+    """
+    hot = max(64, total // hubs)
+    rest = [c for c in groups.columns if c not in on]
+    names = {c: f"_g_{c}" for c in on}
+    marks = F.broadcast(groups.filter(F.col("n") >= hot).select(*(F.col(c).alias(f"_h_{c}") for c in on), F.struct(*rest).alias("_mark")))
+    dealt = rows.join(marks, [F.col(c) == F.col(f"_h_{c}") for c in on], "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_mark").isNotNull(), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_mark", *(f"_h_{c}" for c in on))
+    copies = groups.withColumnsRenamed(names).withColumn("_own", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= hot, F.lit(salts - 1)).otherwise(F.lit(0)))))
+    return dealt.join(copies, [*(F.col(c) == F.col(f"_g_{c}") for c in on), F.col("_salt") == F.col("_own")], how).drop("_salt", "_own", *names.values())
+
+
 def fold(doc_id: str, n: int):
     """crc32 of doc_id as text, modulo n; a null id has remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
@@ -86,5 +84,69 @@ def fold(doc_id: str, n: int):
 
 def thinned(key: str, total: int, bound: int):
     """A condition that keeps about ``bound`` of ``total`` rows, chosen by a hash of ``key``."""
-    share = 1_000_000 if total <= bound else max(1, bound * 1_000_000 // total)
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < share
+    if total <= bound:
+        return F.lit(True)
+    return (F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) < F.lit(bound / total)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches that are sorted by ``keys`` (longs); a group that a batch's end cuts is carried over."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        if not now.num_rows:
+            continue
+        last = np.ones(now.num_rows, bool)
+        for k in keys:
+            column = now.column(k).to_numpy()
+            last &= column == column[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield now.slice(0, cut).combine_chunks()
+        rest = now.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
+def partners(group: np.ndarray, alone: np.ndarray, second: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs that a group has to look at, about ``limit`` at a time; ``group`` rises.
+
+    In a group that is ``alone`` these are all its pairs; in any other the pairs of a row that
+    isn't ``second`` with one that is, which stand behind.
+    """
+    n = len(group)
+    end = np.searchsorted(group, group, side="right")
+    place = np.arange(n)
+    behind = np.searchsorted(2 * group + (second & ~alone), 2 * group + 1)
+    begin = np.where(alone, place + 1, np.where(second, end, behind))
+    count = np.maximum(0, end - begin)
+    total = np.cumsum(count)
+    a = 0
+    while a < n:
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + limit)))
+        each = count[a:b]
+        if each.sum():
+            left = np.repeat(place[a:b], each)
+            yield left, np.repeat(begin[a:b], each) + np.arange(len(left)) - np.repeat(total[a:b] - each - before, each)
+        a = b
+
+
+class Forest:
+    """Disjoint sets of 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Have the two been apart until now?"""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
