@@ -221,6 +221,7 @@ def brute_groups(texts, n, hundredths):
 @pytest.mark.parametrize(("n", "threshold"), [(3, 0.85), (5, 0.8)])
 def test_minhash(spark, n, threshold, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "TEXT_BLOCK", 8)
     rng = random.Random(n)
     bases = [prose(rng, 120, 2000).split() for _ in range(12)]
     texts = []
