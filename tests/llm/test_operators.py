@@ -379,11 +379,50 @@ def test_toxicity(spark):
 
 
 def test_grammar_reads_clauses():
-    g = toxicity.Grammar(whole={"idiot": 4.0}, stems={"snod": 3.0}, repeated={"gru": 2.0})
+    g = toxicity.Grammar(whole={"idiot": 4.0}, stems={"snod": 3.0})
     find = g.finder()
     weigh = lambda t: g.weigh(t, find)
-    assert weigh("an idiot") == 4.0 and weigh("you idiot") == 4.0 * toxicity.TARGETED and weigh("not an idiot") == 4.0 * toxicity.NEGATED
-    assert weigh("she said: idiot") == 4.0 * toxicity.REPORTED * toxicity.TARGETED
-    assert weigh("Snodding about") == 3.0 and weigh("idiotic unsnod") == 0.0
-    assert weigh("grumble. Grunt.") == 2.0 and weigh("grumble") == 0.0
-    assert weigh("kill") == 0.0 and weigh("I will kill you") > 0 and weigh(None) == weigh("") == 0.0
+    assert weigh("an idiot") == 4.0 and weigh("idiot you are") == 4.0 + toxicity.TARGETED and weigh("not an idiot") == 4.0 - toxicity.NEGATED
+    assert weigh("not in the end an idiot") == 4.0 and weigh("you aren't an idiot") == 4.0 - toxicity.NEGATED + toxicity.TARGETED
+    assert weigh("mary said: idiot") == 4.0 - toxicity.REPORTED and weigh("she said: idiot") == 4.0 - toxicity.REPORTED + toxicity.TARGETED
+    assert weigh("Snodding about. IDIOT! you") == 7.0 and weigh("idiotic unsnod") == 0.0
+    assert weigh("kill") == 0.0 and weigh("I will kill you") == 4.0 + toxicity.TARGETED and weigh(None) == weigh("") == 0.0
+
+
+def test_composed_machine_equals_all_paths():
+    """The best path of the composed machine against every path through the five transducers, one after the other."""
+
+    def outputs(clause):
+        paths = {(tuple(s for s, _ in clause), tuple(0.0 for _ in clause), tuple(0 for _ in clause))}
+        for t in toxicity.chain():
+            after = set()
+            for symbols, constants, own in paths:
+                todo = [(start, (), (), ()) for start in t.starts]
+                for s, c, o in zip(symbols, constants, own, strict=True):
+                    todo = [(a.to, (*w, a.writes), (*k, c + a.constant), (*m, o + a.own)) for state, w, k, m in todo for a in t.arcs[state] if a.reads == s]
+                after |= {(w, k, m) for state, w, k, m in todo if state in t.finals}
+            paths = after
+        return max((sum(k) + sum(o * w for o, (_, w) in zip(m, clause, strict=True)) for _, k, m in paths), default=0.0)
+
+    rng = random.Random(10)
+    symbols = (*toxicity.WORDS, toxicity.QUOTE)
+    for _ in range(400):
+        clause = [(s, rng.choice([0.5, 1.5, 4.0]) if s in (toxicity.INSULT, toxicity.THREAT) else 0.0) for s in rng.choices(symbols, k=rng.randrange(6))]
+        assert toxicity.best_path(clause) == pytest.approx(outputs(clause))
+
+
+def test_toxicity_reads_long_texts_in_linear_time_and_repeats(spark):
+    import time
+
+    g = toxicity.Grammar(whole={"idiot": 4.0})
+    find = g.finder()
+    took = []
+    for n in (20_000, 200_000):
+        text = "an idiot, then a plain row of words " * n
+        began = time.perf_counter()
+        assert g.weigh(text, find) == 4.0 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int")
+    assert len(toxicity.assess(df, labels).collect()) == 4 and toxicity.assess(df.limit(0), labels).count() == 0
