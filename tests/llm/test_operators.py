@@ -332,26 +332,53 @@ def test_decontamination(spark):
     want.add((202, 62))
     df = docs_of(spark, texts).withColumn("item_id", F.lit("clash"))
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    for shard in (5000, 25):  # the index in one part or in several
-        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, table, shard_items=shard).collect()} == want
+    for shard in (2 << 20, 2000):  # the index in one part or in several
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, table, shard_bytes=shard).collect()} == want
     left = decontaminate.drop_leaks(df, table)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == set(range(203)) - {d for d, _ in want}
     assert decontaminate.find_leaks(df, table.limit(0)).count() == 0
 
 
-def test_retrieval_equals_full_scores():
+def test_retrieval_equals_full_scores(monkeypatch):
+    monkeypatch.setattr(decontaminate, "RUN", 4)
     rng = random.Random(8)
-    index = decontaminate.ItemIndex([(i, prose(rng, rng.randrange(5, 30), 200)) for i in range(50)])
-    for _ in range(40):
-        w = decontaminate.words(prose(rng, rng.randrange(1, 150), 200))
-        numbers = np.array([index.terms.get(x, -1) for x in w])
-        want = set()
-        for b in range(index.blocks):
-            for s in index.passages(len(w), b).tolist():
-                terms = np.unique(numbers[s : s + 2 * index.longest[b]])
-                score = index.impact[terms[terms >= 0]].sum(axis=0)
-                want |= {(s, j) for j in range(8 * b, min(8 * b + 8, 50)) if score[j] >= 0.5 - 1e-9}
-        assert index.retrieve(numbers, 0.5) == want
+    for vocabulary, threshold in ((200, 0.5), (60, 0.6), (2000, 0.3)):
+        items = [(i, prose(rng, rng.randrange(5, 30), vocabulary)) for i in range(150)]
+        index = decontaminate.ItemIndex(items)
+        size, mean = len(items), sum(len(t.split()) for _, t in items) / len(items)
+        df = {}
+        for _, t in items:
+            for x in set(t.split()):
+                df[x] = df.get(x, 0) + 1
+        text_of = dict(items)
+
+        def score(item, window):
+            own = text_of[index.ids[item]].split()
+            part = {x: math.log(1 + (size - df[x] + 0.5) / (df[x] + 0.5)) * own.count(x) * 2.2 / (own.count(x) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for x in set(own)}
+            return sum(v for x, v in part.items() if x in window) / sum(part.values())
+
+        for _ in range(12):
+            w = prose(rng, rng.randrange(1, 60), vocabulary).split() + rng.choice(items)[1].split() + prose(rng, 20, vocabulary).split()
+            numbers = np.array([index.terms.get(x.encode(), -1) for x in w])
+            want = set()
+            for b in range(index.blocks):
+                for s in index.passages(len(w), b).tolist():
+                    window = set(w[s : s + 2 * index.longest[b]])
+                    want |= {(s, j) for j in range(8 * b, min(8 * b + 8, size)) if score(j, window) >= threshold}
+            assert want and index.retrieve(numbers, threshold) == want
+            terms = np.unique(numbers[numbers >= 0])
+            assert sorted(index.wand(terms, 0, size, threshold)) == [j for j in range(size) if score(j, set(w)) >= threshold]
+
+
+def test_decontamination_nulls_repeats_and_long_texts(spark):
+    rng = random.Random(12)
+    item = "What is asked here by whom and why so. The answer is given in words."
+    long = prose(rng, 60_000, 5000) + " " + item + " " + prose(rng, 10)
+    docs = spark.createDataFrame([(None, item), (1, item), (1, item), (2, None), (3, ""), (4, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == sorted([("None", 7), ("1", 7), ("1", 7), ("4", 7)] * 2)
+    assert decontaminate.find_leaks(docs.limit(0), items).count() == 0 and decontaminate.drop_leaks(docs.limit(0), items).count() == 0
 
 
 # ---------------------------------------------------------------- 10 toxicity
