@@ -10,11 +10,13 @@ all payloads.
 
 Writing.  ``df.write.format("warc").mode("append").save(path)`` writes one ``.warc.gz`` file a task, a gzip member
 a record, each with the ``sl`` (skip length) extra field, by which a reader hops over a
-member and finds the members of its part of a file.  Files of failed attempts are
-not listed in ``_manifest.json`` and so never read.
+member.  Each commit adds a manifest of its own, moved into place when it is whole, with its files and the places of a
+member every ``MARK`` bytes; there partitions begin, so no reader has to look for a member.
+Files of failed attempts are in no manifest and so never read.
 
-Plain ``.warc`` files and gzip files without skip lengths are read too, whole file by
-partition.  Paths go through ``pyarrow.fs`` (local folders, HDFS, object stores).
+Other files are read too, a file a partition: plain ``.warc``, and gzip files with or without skip
+lengths.  Members are only ever found by the end of the one before, so an archive inside a
+payload is not taken for records.  Paths go through ``pyarrow.fs`` (local folders, HDFS, object stores).
 
 Null cells are left-out headers; a null payload is an empty one.  A record of type
 ``revisit`` is written without its payload; the HTTP header keeps the payload's length.
@@ -49,6 +51,8 @@ FIRST_BYTES = 8 << 10
 STEP = 1 << 10
 BLANK = b"\r\n\r\n"
 UNKNOWN = 0xFFFFFFFF
+#: Bytes between two members of a file whose places the manifest keeps.
+MARK = 1 << 20
 
 
 # ---------------------------------------------------------------- records
@@ -131,16 +135,18 @@ class Bytes:
             self.at, self.held = at, bytes(self.file.read_at(min(max(n, self.piece), self.size - at), at))
         return self.held[at - self.at : at - self.at + n]
 
-    def find(self, sign: bytes, at: int) -> int:
-        """Where ``sign`` next stands from ``at`` on, or the file's size."""
-        while at < self.size:
-            piece = self.read(at, self.piece)
-            if (i := piece.find(sign)) >= 0:
-                return at + i
-            if at + len(piece) >= self.size:
-                break
-            at += max(1, len(piece) - len(sign) + 1)
-        return self.size
+
+class Held:
+    """Bytes in memory, read like a file."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def size(self) -> int:
+        return len(self.data)
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
 
 
 class Opening:
@@ -182,43 +188,44 @@ class Opening:
 
 
 def hopping(file: Bytes, start: int, end: int, wanted, payloads: bool) -> Iterator[dict]:
-    """Records of the members that begin in [start, end) of a file with skip lengths."""
-    at = 0 if start == 0 else file.find(MEMBER, start)
+    """Records of the members in [start, end) of a gzip file; a member begins at ``start``.  Members without a skip length are inflated to find their end."""
+    at = start
     while at < min(end, file.size):
         fixed = file.read(at, len(MEMBER) + 8)
-        if fixed[: len(MEMBER)] != MEMBER:
-            at = file.find(MEMBER, at + 1)
+        size = struct.unpack("<II", fixed[len(MEMBER) :])[0] if fixed[: len(MEMBER)] == MEMBER and len(fixed) == len(MEMBER) + 8 else UNKNOWN
+        if size == UNKNOWN:
+            raw, at = whole_member(file, at)
+            if raw.startswith(b"WARC/"):
+                yield from streaming(Bytes(Held(raw)), False, wanted, payloads)
             continue
-        size, _ = struct.unpack("<II", fixed[len(MEMBER) :])
-        body = at + len(fixed)
+        body, after = at + len(fixed), at + size
         opening = Opening(file, body)
         while len(opening.held) < 5 and opening.more():
             pass
-        if not opening.held.startswith(b"WARC/"):
-            at = file.find(MEMBER, at + 1)  # these bytes stand inside another member
-            continue
-        begin = opening.blank(0)
-        fields = parse_headers(opening.held[:begin].removesuffix(BLANK))
-        row = header_columns(fields)
-        known = size != UNKNOWN
-        if wanted(row):
-            if payloads or not known:
-                raw = zlib.decompressobj(-15).decompress(file.read(body, size - len(fixed) - 8)) if known else _inflate(file, body)
-                block = raw[raw.index(b"\r\n\r\n") + 4 :][: int(fields.get("content-length", 0))]
-                length, body_bytes = payload_of(fields, block)
-            else:
-                length, body_bytes = opening.payload_length(fields, begin), None
-            yield row | {"payload_length": length, "payload": body_bytes if payloads and row["record_type"] != "revisit" else None}
-        at = at + size if known else file.find(MEMBER, body)
-
-
-def _inflate(file: Bytes, at: int) -> bytes:
-    open_, out = zlib.decompressobj(-15), []
-    while not open_.eof and at < file.size:
-        piece = file.read(at, 1 << 20)
+        if opening.held.startswith(b"WARC/"):
+            begin = opening.blank(0)
+            fields = parse_headers(opening.held[:begin].removesuffix(BLANK))
+            row = header_columns(fields)
+            if wanted(row):
+                if payloads:
+                    raw = zlib.decompressobj(-15).decompress(file.read(body, size - len(fixed) - 8))
+                    length, body_bytes = payload_of(fields, raw[begin:][: int(fields.get("content-length", 0))])
+                else:
+                    length, body_bytes = opening.payload_length(fields, begin), None
+                yield row | {"payload_length": length, "payload": body_bytes if row["record_type"] != "revisit" else None}
+        at = after
+
+
+def whole_member(file: Bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member that begins there, and where the next one does."""
+    open_, out = zlib.decompressobj(31), []
+    while not open_.eof:
+        piece = file.read(at, 1 << 16)
+        if not piece:
+            raise ValueError(f"a gzip member ends before its time at byte {at}")
         out.append(open_.decompress(piece))
-        at += len(piece)
-    return b"".join(out)
+        at += len(piece) - len(open_.unused_data)
+    return b"".join(out), at
 
 
 class Inflated:
@@ -315,17 +322,21 @@ class Stretch(InputPartition):
     gzipped: bool
 
 
-def archive_files(path: str) -> list[tuple[str, int]]:
-    """Archives under ``path`` (a file or a folder), with their sizes; the committed ones if a manifest lists them."""
+def archive_files(path: str) -> list[tuple[str, int, list[int]]]:
+    """Archives under ``path`` (a file or a folder), their sizes, and places where members begin; the committed ones if there are manifests."""
     store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
-        return [(at, info.size)]
+        return [(at, info.size, [0])]
     found = {i.base_name: (i.path, i.size) for i in store.get_file_info(fs.FileSelector(at, recursive=False)) if i.type == fs.FileType.File}
-    if "_manifest.json" in found:
-        with store.open_input_stream(found["_manifest.json"][0]) as f:
-            return [found[n] for n in json.loads(f.read())["files"]]
-    return sorted(v for n, v in found.items() if n.endswith((".warc", ".warc.gz")))
+    manifests = [v for n, (v, _) in sorted(found.items()) if n.startswith("_manifest-")]
+    if not manifests:
+        return [(*v, [0]) for n, v in sorted(found.items()) if n.endswith((".warc", ".warc.gz"))]
+    out = {}
+    for m in manifests:
+        with store.open_input_stream(m) as f:
+            out |= {n: (*found[n], marks) for n, marks in json.loads(f.read())["files"].items()}
+    return [v for _, v in sorted(out.items())]
 
 
 class WarcReader(DataSourceReader):
@@ -345,12 +356,14 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Stretch]:
         out = []
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        for path, size in archive_files(self.path):
+        for path, size, marks in archive_files(self.path):
             with store.open_input_file(path) as f:
                 sign = f.read_at(min(len(MEMBER), size), 0)
-            hops = sign == MEMBER
-            step = self.split if hops else max(1, size)
-            out += [Stretch(path, a, min(a + step, size), hops, sign[:2] == MEMBER[:2]) for a in range(0, size, step)]
+            cuts = [0]
+            for mark in marks:
+                if mark - cuts[-1] >= self.split:
+                    cuts.append(mark)
+            out += [Stretch(path, i, j, sign == MEMBER, sign[:2] == MEMBER[:2]) for i, j in zip(cuts, [*cuts[1:], size], strict=True)]
         return out or [Stretch("", 0, 0, False, False)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
@@ -380,12 +393,14 @@ class WarcReader(DataSourceReader):
 @dataclass
 class Written(WriterCommitMessage):
     name: str | None
+    marks: list[int]
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.level = int(options.get("level", 6))
+        self.mark = int(options.get("mark_bytes", MARK))
 
     def _store(self):
         store, at = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
@@ -394,27 +409,29 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = self._store()
-        name, out = None, None
+        name, out, place, marks = None, None, 0, [0]
         try:
             for batch in iterator:
                 for i in range(batch.num_rows):
                     if out is None:
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out = store.open_output_stream(f"{at}/{name}", compression=None)
-                    out.write(gzip_member(encode_record({c: batch.column(c)[i].as_py() for c in batch.schema.names}), self.level))
+                    if place - marks[-1] >= self.mark:
+                        marks.append(place)
+                    member = gzip_member(encode_record({c: batch.column(c)[i].as_py() for c in batch.schema.names}), self.level)
+                    out.write(member)
+                    place += len(member)
         finally:
             if out is not None:
                 out.close()
-        return Written(name)
+        return Written(name, marks)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, at = self._store()
-        files = {m.name for m in messages if m is not None and m.name}
-        if store.get_file_info(f"{at}/_manifest.json").type == fs.FileType.File:
-            with store.open_input_stream(f"{at}/_manifest.json") as f:
-                files |= set(json.loads(f.read())["files"])
-        with store.open_output_stream(f"{at}/_manifest.json", compression=None) as f:
-            f.write(json.dumps({"files": sorted(files)}).encode())
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{at}/.{name}", compression=None) as f:
+            f.write(json.dumps({"files": {m.name: m.marks for m in messages if m is not None and m.name}}).encode())
+        store.move(f"{at}/.{name}", f"{at}/_manifest-{name}.json")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, at = self._store()
