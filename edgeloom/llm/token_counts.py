@@ -11,8 +11,12 @@ A word is a run of bytes other than space and 0x09-0x0D; a leading space byte
 stands before each word, as in the vocabulary.  Every single byte is a piece, so
 every word has a greedy split and none is unknown.
 
+The table takes 5 bytes a node and byte value in each Python worker (more if a piece has 255
+bytes or more): 256 * 5 bytes times the distinct beginnings of pieces.
+
 Null text: no words, no tokens.  Empty text: the same.  Rows are independent, so
-repeated rows and ids give repeated rows; other columns are not read.
+repeated rows and ids give repeated rows, and an empty table an empty result.  Other columns are
+not read, so their names may clash with any.  Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -51,7 +55,9 @@ class LongestMatch:
         is_token = np.zeros(n, bool)
         is_token[token] = True
         self.step = np.zeros((n, 256), np.int32)
-        self.pops = np.zeros((n, 256), np.uint8)
+        # a step pops no more pieces than its node's word has bytes
+        count = np.min_scalar_type(max(map(len, words)) + 1)
+        self.pops = np.zeros((n, 256), count)
         fail, popped = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at_end = np.zeros(n, np.int64)
         by_depth = [table[table[:, 3] == d] for d in range(1, int(table[:, 3].max()) + 1)]
@@ -63,7 +69,7 @@ class LongestMatch:
             popped[node] = np.where(whole, 1, popped[parent] + self.pops[fail[parent], byte])
             at_end[node] = popped[node] + at_end[fail[node]]
             self.step[node] = self.step[fail[node]]
-            self.pops[node] = self.pops[fail[node]] + popped[node][:, None].astype(np.uint8)
+            self.pops[node] = self.pops[fail[node]] + popped[node][:, None].astype(count)
             if d + 1 < len(by_depth):
                 after = by_depth[d + 1]
                 self.step[after[:, 0], after[:, 1]] = after[:, 2]
