@@ -9,7 +9,9 @@ corrected count decides.
 Text is lower-cased, and runs of other characters than letters become one space.
 Null text or text without a letter gives ``und`` with score 0.  Whole texts are
 read, however long.  Ties go to the language that sorts first.  Without any
-labelled row every text is ``und``.
+labelled row every text is ``und``, and an empty table gives an empty result.  Rows are
+independent: repeated rows and ids give repeated rows.  Columns that aren't named are not read, so their
+names may clash with any.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.shared import flat, fold, materialize, mix64, slices
+from edgeloom.llm.shared import flat, fold, materialize, mix64, share_of, slices
 
 GRAM = 5
 PROBES = 3
@@ -74,7 +76,7 @@ class LanguageFilters:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 8000, gram_limit: int = 400_000, min_count: int = 3, min_ratio: float = 0.2, bits: int = 21) -> LanguageFilters:
-    """Fit on about ``sample_rows`` labelled rows of each language, chosen by a hash of the key; all rows of a rarer one.
+    """Fit on about ``sample_rows`` labelled rows of each language, chosen by a hash of key and text; all rows of a rarer one.
 
     An n-gram joins a language's filter if it occurs ``min_count`` times there (as often as
     the most frequent one, where none does) and its share of that language's n-grams is at
@@ -83,8 +85,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """
     labelled = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang")).filter("_lang is not null and _text is not null")
     totals = labelled.groupBy("_lang").agg(F.count("*").alias("_total"))
-    share = F.when(F.col("_total") <= sample_rows, 1_000_000).otherwise(F.greatest(F.lit(1), F.floor(F.lit(sample_rows * 1_000_000) / F.col("_total"))))
-    sample = labelled.join(F.broadcast(totals), "_lang").filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < share).select("_key", "_text", "_lang")
+    kept = share_of(["_key", "_text"]) < F.lit(float(sample_rows)) / F.col("_total")
+    sample = labelled.join(F.broadcast(totals), "_lang").filter(kept).select("_key", "_text", "_lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

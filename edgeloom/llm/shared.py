@@ -82,11 +82,16 @@ def fold(doc_id: str, n: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def thinned(key: str, total: int, bound: int):
-    """A condition that keeps about ``bound`` of ``total`` rows, chosen by a hash of ``key``."""
+def thinned(key: str | list[str], total: int, bound: int):
+    """A condition that keeps about ``bound`` of ``total`` rows, chosen by a hash of ``key`` (one column or several)."""
     if total <= bound:
         return F.lit(True)
-    return (F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) < F.lit(bound / total)
+    return share_of(key) < F.lit(bound / total)
+
+
+def share_of(key: str | list[str]):
+    """A number in [0, 1) made of a hash of ``key``."""
+    return F.xxhash64(*[F.col(k) for k in ([key] if isinstance(key, str) else key)]).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -11,8 +11,12 @@ those of an empty URL).  A rule is a host and a path, written ``host/path``; it
 host and all subdomains if the URL's path starts with the rule's; the longest rule wins.
 
 The trees learn from the URLs that rules judge: a rule's verdict is the label.  At most
-about ``sample_rows`` of them are used, chosen by a hash of the URL.  Without two
+about ``sample_rows`` of them are used, chosen by a hash of key and URL.  Without two
 classes in the sample every other URL gets the majority verdict, or ``allow``.
+
+Rows are independent: repeated rows and keys give repeated rows, a null key is kept, and an empty table gives
+an empty result.  URLs are read whole, however long.  Columns that aren't named are not read, so
+their names may clash with any.  Of rules of equal length the one that sorts last wins; only equal ones fit alike.
 """
 
 from __future__ import annotations
@@ -107,11 +111,12 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 @dataclass
 class Trees:
-    """Boosted trees of depth 2 over cut features; ``suffixes`` has the learned block rates of path beginnings and host endings."""
+    """Boosted trees of depth 2 over cut features; ``rates`` (``kind, k, rate``) has the block rates, per mille, of the sample's suffixes, ``base`` that of all its rows."""
 
     bias: float = 0.0
     trees: list = field(default_factory=list)
-    suffix_rates: dict[str, dict[str | None, int]] = field(default_factory=dict)
+    rates: DataFrame | None = None
+    base: int = 0
 
 
 def suffix_keys(host: Column, path: Column) -> dict[str, Column]:
@@ -123,47 +128,41 @@ def suffix_keys(host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _with_suffix(frame: DataFrame, name: str, rates: dict[str, int]) -> DataFrame:
-    """Block rate (per mille) of a row's suffix; unseen ones have the sample's rate, kept at ``None``."""
-    base = F.lit(rates[None])
-    rates = {k: v for k, v in rates.items() if k is not None}
-    if not rates:
-        return frame.withColumn("f_" + name, base)
-    table = F.create_map(*[F.lit(x) for kv in sorted(rates.items()) for x in kv])
-    return frame.withColumn("f_" + name, F.coalesce(F.try_element_at(table, F.col("k_" + name)), base))
-
-
-def _featured(urls: DataFrame, suffix_rates: dict[str, dict[str, int]]) -> DataFrame:
+def _featured(urls: DataFrame, model: Trees) -> DataFrame:
+    """``urls`` with the features ``f_...``; a suffix that the sample hasn't has the sample's block rate."""
     out = urls
     for name, key in suffix_keys(F.col("_host"), F.col("_path")).items():
-        out = out.withColumn("k_" + name, key)
-    for name in suffix_rates:
-        out = _with_suffix(out, name, suffix_rates[name])
+        out = out.withColumn("f_" + name, F.lit(model.base))
+        if model.rates is not None:  # a row for each suffix of the sample, so sample_rows bounds the broadcast
+            rates = F.broadcast(model.rates.filter(F.col("kind") == name).select(F.col("k").alias("_k"), F.col("rate").alias("_rate")))
+            out = out.drop("f_" + name).withColumn("_own", key).join(rates, F.col("_own") == F.col("_k"), "left").withColumn("f_" + name, F.coalesce("_rate", F.lit(model.base))).drop("_own", "_k", "_rate")
     for name, f in features(F.col("_url"), F.col("_host"), F.col("_path")).items():
         out = out.withColumn("f_" + name, f.cast("long"))
     return out
 
 
-def train(urls: DataFrame, rules: list[Rule], *, sample_rows: int = 20_000, rounds: int = 8, rate: float = 0.5, bins: int = 16, ridge: float = 1.0, suffix_limit: int = 200) -> Trees:
-    """Fit on the rows of ``urls`` (``_url, _host, _path, _rule``) that a rule judges."""
+def train(urls: DataFrame, rules: list[Rule], *, sample_rows: int = 20_000, rounds: int = 8, rate: float = 0.5, bins: int = 16, ridge: float = 1.0, suffix_rows: int = 5) -> Trees:
+    """Fit on about ``sample_rows`` of the rows of ``urls`` (``_key, _url, _host, _path, _rule``) that a rule judges.
+
+    A suffix has a rate of its own if it has ``suffix_rows`` rows of the sample.
+    """
     known = urls.filter("_rule is not null").withColumn("_y", (rule_verdict(rules, F.col("_rule")) == "block").cast("double"))
     total = known.count()
     if not total:
         return Trees()
-    known = materialize(known.filter(thinned("_url", total, sample_rows)).select("_url", "_host", "_path", "_y"), "url-sample")
+    known = materialize(known.filter(thinned(["_key", "_url"], total, sample_rows)).select("_url", "_host", "_path", "_y"), "url-sample")
     n, y = known.agg(F.count("*"), F.sum("_y")).first()
     if not n:
         return Trees()
     model = Trees(bias=math.log((y + 0.5) / (n - y + 0.5)))
-    keyed = known
-    keys = suffix_keys(F.col("_host"), F.col("_path"))
-    for name, key in keys.items():
-        # per suffix: the rate with a prior of 10 rows at the sample's rate; the most frequent ``suffix_limit`` are kept
-        seen = keyed.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.sum("_y").alias("b")).filter("n >= 5").orderBy(F.desc("n"), "k").limit(suffix_limit)
-        model.suffix_rates[name] = {r.k: int(1000 * (r.b + 10 * y / n) / (r.n + 10)) for r in seen.toLocalIterator()} | {None: int(1000 * y / n)}
+    model.base = int(1000 * y / n)
+    kinds = F.explode(F.create_map(*[x for name, key in suffix_keys(F.col("_host"), F.col("_path")).items() for x in (F.lit(name), key)])).alias("kind", "k")
+    seen = known.select("_y", kinds).filter("k is not null").groupBy("kind", "k").agg(F.count("*").alias("n"), F.sum("_y").alias("b")).filter(F.col("n") >= suffix_rows)
+    # with a prior of 10 rows at the sample's rate
+    model.rates = materialize(seen.select("kind", "k", F.floor(1000 * (F.col("b") + 10 * y / n) / (F.col("n") + 10)).cast("int").alias("rate")), "url-suffixes")
     if y == 0 or y == n:
         return model
-    sample = _featured(known, model.suffix_rates)
+    sample = _featured(known, model)
     names = sorted(c for c in sample.columns if c.startswith("f_"))
     cuts = sample.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in names]).first().asDict()
     cuts = {c: sorted(set(v)) for c, v in cuts.items()}
@@ -254,6 +253,6 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     """``key, host, path, rule, verdict, score`` of each row; ``score`` is the trees' chance of ``block``."""
     urls = parsed(pages, rules, key=key, url=url)
     model = train(urls, rules, **options)
-    out = _featured(urls, model.suffix_rates).withColumn("score", blocked(model))
+    out = _featured(urls, model).withColumn("score", blocked(model))
     verdict = F.coalesce(rule_verdict(rules, F.col("_rule")), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return out.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"), "score")
