@@ -12,8 +12,12 @@ place: sizes are summed by (source, bin of u), a window over at most ``BINS`` ro
 bin where the remainder ends, and only that bin's rows (about 1 in ``BINS``) are ordered.
 
 Null and empty texts have size 0 and are taken with 0 words.  A null source is a source
-of its own, last in order.  Rows with equal ids have equal ranks; which of them comes
-first is settled by size.  An empty table gives an empty result.
+of its own, last in order.  Rows with equal ids (null ones too) have equal ranks and are ordered by size; rows that
+are equal in that as well are counted, not ordered, and if only some of them fit, those that
+stand first in the input are taken, so reruns over the same files agree.  An empty table gives an empty result.
+Columns of ``docs`` may have any names: ``mixed`` renames those that its own ones clash with to ``_own_<name>``.
+A rate, and so the inclusion odds, is one for a source; the division by them matters between sources, where
+the cuts are, and leaves the order inside a source to chance.
 """
 
 from __future__ import annotations
@@ -78,32 +82,64 @@ def mixing_plan(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share
     up_to = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_before", F.coalesce(F.sum("_size").over(up_to), F.lit(0))).filter("_before <= _need and _before + _size > _need")
     edges = materialize(bins.groupBy("source").agg(F.min(F.struct("_bin", "_before")).alias("_e")).select(F.col("source").alias("_s"), "_e._bin", "_e._before").withColumnRenamed("_bin", "_edge"), "edges")
-    inside = Window.partitionBy("source", "_bin").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.join(edges, rows["source"].eqNullSafe(edges["_s"]) & (rows["_bin"] == edges["_edge"])).withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = last.filter(F.col("_sum") + F.col("size") / 2.0 <= F.col("_need")).groupBy("source").agg(F.max(F.struct("_rank", "doc_id", "size")).alias("_cut")).withColumnRenamed("source", "_c")
+    last = rows.join(edges, rows["source"].eqNullSafe(edges["_s"]) & (rows["_bin"] == edges["_edge"])).drop("_s")
+    # equal rows are one tie, of which as many are taken as fit
+    ties = last.groupBy("source", "_before", "_need", "_rank", "doc_id", "size").agg(F.count("*").alias("_m"))
+    inside = Window.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("_need") - F.col("_before") - F.coalesce(F.sum(F.col("_m") * F.col("size")).over(inside), F.lit(0))
+    fit = F.when(F.col("size") > 0, F.floor((F.col("_room") - F.col("size") / 2.0) / F.col("size")) + 1).otherwise(F.when(F.col("_room") >= 0, F.col("_m")).otherwise(0))
+    ties = ties.withColumn("_room", room).withColumn("_t", F.least(F.col("_m"), fit).cast("long")).filter("_t > 0")
+    cuts = ties.groupBy("source").agg(F.max(F.struct("_rank", "doc_id", "size", "_t", "_m")).alias("_c")).select(F.col("source").alias("_cs"), F.struct("_c._rank", "_c.doc_id", "_c.size").alias("_cut"), "_c._t", F.col("_c._m").alias("_m"))
     plan = targets.join(edges.drop("_before"), targets["source"].eqNullSafe(edges["_s"]), "left").drop("_s")
-    return materialize(plan.join(last, plan["source"].eqNullSafe(last["_c"]), "left").drop("_c"), "mix")
+    plan = materialize(plan.join(cuts, plan["source"].eqNullSafe(cuts["_cs"]), "left").drop("_cs"), "mix")
+    if not plan.filter("_t < _m").head(1):
+        return plan.withColumn("_until", F.lit(None).cast("long"))
+    return materialize(_part_of_ties(sizes, plan), "mix")
+
+
+def _part_of_ties(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``_until``, the place ``_at`` of the last row that is taken of a source's tie, where not all of it is.
+
+    Places rise by input partition; the partition in which the tie's rows run out is found from
+    their counts, and only its rows are ordered.
+    """
+    tied = ranked(sizes, plan.filter("_t < _m")).filter((F.col("_bin") == F.col("_edge")) & (F.struct("_rank", "doc_id", "size") == F.col("_cut")))
+    tied = tied.select("source", "_t", "_at", F.shiftright("_at", 33).alias("_part"))
+    parts = tied.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.first("_t").alias("_t"))
+    up_to = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_less", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).filter("_less < _t and _less + _n >= _t")
+    parts = parts.select(F.col("source").alias("_ps"), F.col("_part").alias("_pp"), "_less")
+    inside = tied.join(parts, tied["source"].eqNullSafe(parts["_ps"]) & (tied["_part"] == parts["_pp"]))
+    order = Window.partitionBy("source").orderBy("_at")
+    until = inside.withColumn("_number", F.col("_less") + F.row_number().over(order)).filter("_number = _t").select(F.col("source").alias("_us"), F.col("_at").alias("_until"))
+    return plan.join(until, plan["source"].eqNullSafe(until["_us"]), "left").drop("_us")
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (with ``doc_id``, ``source`` and ``size``) and their ``source_size, target, copies, taken``."""
-    columns = rows.columns
+    """``rows`` (with ``doc_id``, ``source``, ``size`` and their place ``_at``) and their ``source_size, target, copies, taken``."""
+    columns = [c for c in rows.columns if c != "_at"]
     out = ranked(rows, plan)
-    more = (F.col("_p") > 0) & ((F.col("_bin") < F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & (F.struct("_rank", "doc_id", "size") <= F.col("_cut"))))
+    own = F.struct("_rank", "doc_id", "size")
+    in_edge = (own < F.col("_cut")) | ((own == F.col("_cut")) & (F.col("_until").isNull() | (F.col("_at") <= F.col("_until"))))
+    more = (F.col("_p") > 0) & ((F.col("_bin") < F.col("_edge")) | ((F.col("_bin") == F.col("_edge")) & in_edge))
     out = out.withColumn("copies", (F.col("_whole") + F.when(more, 1).otherwise(0)).cast("long"))
     return out.select(*columns, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), F.monotonically_increasing_id().alias("_at"), *more)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of each row of ``docs``; texts are read once."""
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = materialize(_sizes(docs), "sizes")
     return apply_plan(sizes, mixing_plan(sizes, **options))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``size, source_size, target, copies, taken``."""
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    plan = mixing_plan(sizes, **options)
-    clash = {c: f"_own_{c}" for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns}
-    rows = docs.withColumnsRenamed(clash).withColumn("size", word_count(F.col("text")))
-    return apply_plan(rows, plan).filter("copies > 0")
+    plan = mixing_plan(materialize(_sizes(docs), "sizes"), **options)
+    made = ("size", "source_size", "target", "copies", "taken")
+    rows = apply_plan(_sizes(docs, F.struct("*").alias("_doc")), plan).filter("copies > 0")
+    kept = [F.col("_doc")[c].alias(f"_own_{c}" if c in made else c) for c in docs.columns]
+    return rows.select(*kept, *made)
