@@ -91,9 +91,42 @@ def test_token_counts(spark):
         assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(b" " + w, pieces) for w in words))
 
 
+def test_token_counts_of_long_pieces_and_empty_tables(spark):
+    pieces = [b"a" * 290, b"b" * 300]
+    texts = ["a" * 290 + "b", "b" * 299, "b" * 300, "a" * 1000]
+    df = docs_of(spark, texts + texts)
+    got = sorted(token_counts.token_counts(df, pieces).collect())
+    assert [r.n_tokens for r in got] == [greedy(b" " + t.encode(), set(pieces)) for t in texts + texts]
+    assert token_counts.token_counts(df.limit(0), pieces).count() == 0
+
+
 # ---------------------------------------------------------------- 3 WARC
 
 
+def test_archives_inside_payloads(spark, tmp_path):
+    """Members that stand uncompressed inside a payload are no records, however the file is split; appends add up."""
+    warc.register(spark)
+    inner = b"".join(warc.gzip_member(warc.encode_record(dict(record_id=f"inner{i}", target_uri="u", payload=bytes(range(256)) * 8)), 0) for i in range(4))
+    rows = [(f"r{i}", "response", inner if i % 2 else b"plain" * 400) for i in range(8)]
+    df = spark.createDataFrame(rows, "record_id string, record_type string, payload binary").coalesce(2)
+    where = str(tmp_path / "w")
+    schema = {x.split()[0]: x.split()[1] for x in warc.SCHEMA.split(", ")}
+    full = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in schema.items()])
+    for part in ("record_id < 'r4'", "record_id >= 'r4'"):
+        full.filter(part).write.format("warc").mode("append").option("path", where).option("level", "0").option("mark_bytes", "1").save()
+    read = spark.read.format("warc").option("path", where).option("split_bytes", "1").load()
+    assert read.rdd.getNumPartitions() == 8
+    assert sorted((r.record_id, bytes(r.payload)) for r in read.collect()) == [(i, p) for i, _, p in rows]
+
+
+def test_warc_empty_table_and_long_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 2_000_000), (2, "u", "é" * 2_000_000)], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.round_trip(pages, str(tmp_path / "long")).collect())
+    sha = hashlib.sha1(("é" * 2_000_000).encode()).hexdigest()
+    assert got == [(1, 4_000_000, sha, "revisit", 2), (2, 4_000_000, sha, "response", None)]
+    assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (5, None, big), (3, "http://b/é \r\n", "small"), (4, "http://b", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "ü" * 600), (8, "u", "ü" * 600)]
@@ -150,6 +183,48 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_trees_take_the_best_splits(spark):
+    """A tree's splits and leaves against sums over the rows for every feature and cut."""
+    rng = random.Random(11)
+    names, cuts = ["f_a", "f_b", "f_c"], {"f_a": [1, 4, 6], "f_b": [2], "f_c": [0, 3]}
+    rows = [(*(rng.randrange(len(cuts[c]) + 1) for c in names), rng.uniform(-1, 1), rng.uniform(0.05, 0.25)) for _ in range(200)]
+    graded = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names) + ", _g double, _h double")
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("bin")) for c in names]))
+    f, cut, below, above = url_filter._grow(graded, stacked, cuts, 0.5, 1.0)
+
+    def best(part):
+        def value(x):
+            return sum(r[3] for r in x) ** 2 / (sum(r[4] for r in x) + 1)
+
+        def split(k, i):
+            return [r for r in part if r[k] <= i], [r for r in part if r[k] > i]
+
+        gain, k, i = max((value(split(k, i)[0]) + value(split(k, i)[1]) - value(part), k, i) for k, c in enumerate(names) for i in range(len(cuts[c])))
+        return names[k], cuts[names[k]][i], [0.5 * sum(r[3] for r in x) / (sum(r[4] for r in x) + 1) for x in split(k, i)], split(k, i)
+
+    name, at, _, halves = best(rows)
+    assert (f, cut) == (name, at)
+    for got, half in zip((below, above), halves, strict=True):
+        name, at, leaves, _ = best(half)
+        assert got[:2] == [name, at] and got[2:] == pytest.approx(leaves)
+
+
+def test_url_trees_hold_out_and_odd_rows(spark):
+    """Trees tell blocked from allowed hosts that they were not fitted on; repeated and long URLs; many suffixes."""
+    rules = url_filter.parse_rules(["allow good.org/", "block bad.net/"])
+    rng = random.Random(4)
+    ruled = [(f"http://h{i}.good.org/a/b" if i % 2 else f"https://x{rng.randrange(10**9)}.h{i}.bad.net/?a=1&b={rng.randrange(10**9)}") for i in range(600)]
+    other = ["http://h1.other.com/a/b", f"https://x{rng.randrange(10**9)}.h3.other.com/?a=1&b={rng.randrange(10**9)}"]
+    rows = list(enumerate(ruled)) + [(10_000 + i, u) for i, u in enumerate(other * 2)] + [(None, other[0]), (7, "http://l.com/" + "a" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("k", F.lit("clash")).withColumn("rate", F.lit(1))
+    got = url_filter.judge(pages, rules, sample_rows=300).collect()
+    assert len(got) == len(rows)
+    verdict = {r.page_id: r.verdict for r in got}
+    assert [verdict[10_000 + i] for i in range(4)] == ["allow", "block"] * 2 and verdict[None] == "allow"
+    wrong = sum((r.score >= 0.5) != (r.verdict == "block") for r in got if r.rule)
+    assert wrong <= 6
+
+
 # ---------------------------------------------------------------- 5 suffixes
 
 
@@ -290,9 +365,47 @@ def test_mixing(spark):
     assert kept.count() == sum(r.copies > 0 for r in rows) and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_ties(spark):
+    """Rows that are equal in id and size: as many are taken as fit, wherever they stand."""
+    rows = [(None, "one two three four five", "a")] * 100 + [(7, "one two three", "b")] * 40 + [(i, "x y z", "b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_rank", F.lit("clash")).withColumn("target", F.lit(1)).repartition(5).sortWithinPartitions("doc_id")
+    for out in (mixing.mix(df), mixing.mixed(df)):
+        got = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+        assert len(got) == 2
+        assert all(abs(r.taken - r.target) <= 5 and r.most <= 2 for r in got)
+    assert set(mixing.mixed(df).columns) >= {"_rank", "_own_target", "target"}
+    same = spark.createDataFrame([(1, "a b c d", "s")] * 30, "doc_id long, text string, source string")
+    (r,) = mixing.mix(same, share=0.5).agg(F.sum("taken").alias("n"), F.max("copies").alias("m")).collect()
+    assert (r.n, r.m) == (60, 1)
+
+
 # ---------------------------------------------------------------- 8 language
 
 
+def test_language_counts_equal_exact_sets():
+    """Corrected filter counts against exact n-gram sets, and the decision against theirs."""
+    rng = np.random.default_rng(3)
+    members = [rng.integers(0, 2**40, 4000).astype(np.uint64) for _ in range(9)]
+    f = language_id.LanguageFilters([f"l{i}" for i in range(9)], members, 18)
+    sets = [set(m.tolist()) for m in members]
+    for best in range(9):
+        gram = np.concatenate([rng.choice(members[best], 300), rng.choice(members[(best + 4) % 9], 100), rng.integers(2**41, 2**42, 200).astype(np.uint64)])
+        counts, total = f.counts(gram, np.zeros(len(gram), np.int64), 1)
+        exact = np.array([sum(g in s for g in gram.tolist()) for s in sets])
+        assert total[0] == 600 and np.abs(counts[0] - exact).max() <= 12 and counts[0].argmax() == exact.argmax() == best
+
+
+def test_language_nulls_repeats_and_long_texts(spark):
+    rows = [(1, "guten tag welt", "de"), (1, "guten tag welt", "de"), (None, "guten tag", None), (2, "guten tag " * 60_000, None), (3, None, "de"), (4, "12 34", "de"), (5, "hello world", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language_id.train(docs.filter("doc_id is not null"))
+    got = [(r.doc_id, r.lang_pred, 0 <= r.score <= 1) for r in language_id.predict(docs, model).collect()]
+    assert sorted(got, key=str) == sorted([(1, "de", True), (1, "de", True), (None, "de", True), (2, "de", True), (3, "und", True), (4, "und", True), (5, "en", True)], key=str)
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     parts = {"aa": ["tha", "ing", "wer"], "bb": ["ción", "que", "llo"], "cc": ["schu", "ung", "ber"]}
