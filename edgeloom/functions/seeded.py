@@ -16,16 +16,23 @@ from edgeloom.operators.edits import admissible_additions, deletions
 from edgeloom.operators.graphs import Graphs
 from edgeloom.operators.priority import BUDGETS, error_rows
 from edgeloom.operators.stats import percentile, severity_summary
+from edgeloom.plans.storage import materialize
 
 
-def sampled_edits(g: Graphs, kind: str, count: int, seed: int = 0, protected: DataFrame | None = None) -> DataFrame:
+def sampled_edits(g: Graphs, kind: str, count: int, seed: int = 0, protected: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """``count`` edits of a kind for each graph, sampled from all in the text order of their pairs.
 
-    ``protected`` edges (``graph_id, src, dst``) are never removed.  A negative count, or more than there are, raises.
+    ``protected`` edges (``graph_id, src, dst``) are never removed.  Given ``candidates`` (``graph_id, src, dst``) replace the
+    admissible additions; those that are loops or edges, or close a cycle by themselves, are left out.  A negative
+    count, or more than there are, raises.
     """
     if count < 0:
         raise ValueError("count must not be negative")
     every = admissible_additions(g) if kind == "add" else deletions(g)
+    if candidates is not None and kind == "add":
+        pair = candidates.select("graph_id", F.lit("add").alias("kind"), F.col("src").cast("int").alias("u"), F.col("dst").cast("int").alias("v")).distinct().filter("u <> v")
+        back = g.reach.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("u"))
+        every = pair.join(deletions(g).drop("kind"), ["graph_id", "u", "v"], "left_anti").join(back, ["graph_id", "u", "v"], "left_anti").select("graph_id", "kind", "u", "v")
     if protected is not None and kind == "delete":
         every = every.join(protected.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")), ["graph_id", "u", "v"], "left_anti").select("graph_id", "kind", "u", "v")
 
@@ -39,6 +46,14 @@ def sampled_edits(g: Graphs, kind: str, count: int, seed: int = 0, protected: Da
     return every.groupBy("graph_id").applyInPandas(draw, "graph_id string, kind string, u int, v int")
 
 
+def seeded_addition(g: Graphs, count: int, seed: int = 0, candidates: DataFrame | None = None) -> tuple[Graphs, DataFrame]:
+    """The graphs with ``count`` sampled edges more, and those edges; edges that close a cycle together raise."""
+    added = materialize(sampled_edits(g, "add", count, seed, candidates=candidates), "added")
+    out = Graphs(g.nodes, g.edges.unionByName(added.select("graph_id", F.col("u").alias("src"), F.col("v").alias("dst"))), g.fk)
+    out.reach0.take(1)  # the path table raises at a cycle
+    return out, added.select("graph_id", F.col("u").alias("src"), F.col("v").alias("dst"))
+
+
 def layered_null(g: Graphs, seeds: int = 200) -> DataFrame:
     """Random graphs with each node's level and the number of edges kept: ``graph_id, seed, src, dst``.
 
@@ -69,22 +84,41 @@ def layered_null(g: Graphs, seeds: int = 200) -> DataFrame:
 
 
 def null_graphs(g: Graphs, seeds: int = 200) -> Graphs:
-    """The null samples as graphs of their own, named ``<graph>-null-<seed>``."""
-    name = F.concat("graph_id", F.lit("-null-"), F.col("seed").cast("string"))
-    edges = layered_null(g, seeds).select(name.alias("graph_id"), "src", "dst")
-    nodes = g.nodes.join(g.sizes.filter("m > 0").select("graph_id"), "graph_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"), "*").select(name.alias("graph_id"), "node_id", "name")
-    return Graphs(nodes, edges)
+    """The null samples as graphs of their own, named ``<graph>-null-<seed>``; made once for each ``g`` and number of seeds."""
+    made = g.__dict__.setdefault("_nulls", {})
+    if seeds not in made:
+        name = F.concat("graph_id", F.lit("-null-"), F.col("seed").cast("string"))
+        edges = layered_null(g, seeds).select(name.alias("graph_id"), "src", "dst")
+        nodes = g.nodes.join(g.sizes.filter("m > 0").select("graph_id"), "graph_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"), "*").select(name.alias("graph_id"), "node_id", "name")
+        made[seeds] = Graphs(nodes, edges)
+    return made[seeds]
+
+
+ORIGIN = r"^(.*)-null-\d+$"
 
 
 def null_summary(g: Graphs, seeds: int = 200) -> DataFrame:
-    """Per graph: observed concentration of severity against the nulls' mean and 2.5 to 97.5 percentiles."""
-    s = severity_summary(null_graphs(g, seeds)).withColumn("g", F.regexp_extract("graph_id", r"^(.*)-null-\d+$", 1))
-    stats = []
-    for x in ("gini", "top_share"):
-        stats += [F.round(F.avg(x), 9).alias(f"null_{x}_mean"), F.round(percentile(x, 0.025), 9).alias(f"null_{x}_low"), F.round(percentile(x, 0.975), 9).alias(f"null_{x}_high")]
-    nulls = s.groupBy("g").agg(F.count("*").alias("samples"), *stats)
-    seen = severity_summary(g).select("graph_id", F.col("gini").alias("observed_gini"), F.col("top_share").alias("observed_top_share"))
-    return seen.join(nulls, F.col("graph_id") == F.col("g")).drop("g")
+    """Per graph: observed concentration of severity against the nulls' mean and 2.5 to 97.5 percentiles; made once for each ``g`` and number of seeds."""
+    made = g.__dict__.setdefault("_null_summaries", {})
+    if seeds not in made:
+        s = severity_summary(null_graphs(g, seeds)).withColumn("g", F.regexp_extract("graph_id", ORIGIN, 1))
+        stats = []
+        for x in ("gini", "top_share"):
+            stats += [F.round(F.avg(x), 9).alias(f"null_{x}_mean"), F.round(percentile(x, 0.025), 9).alias(f"null_{x}_low"), F.round(percentile(x, 0.975), 9).alias(f"null_{x}_high")]
+        nulls = s.groupBy("g").agg(F.count("*").alias("samples"), *stats)
+        seen = severity_summary(g).select("graph_id", F.col("gini").alias("observed_gini"), F.col("top_share").alias("observed_top_share"))
+        made[seeds] = materialize(seen.join(nulls, F.col("graph_id") == F.col("g")).drop("g"), "null-summary")
+    return made[seeds]
+
+
+def null_check(g: Graphs, seeds: int = 200) -> DataFrame:
+    """Per graph: its null samples, their edges, and how many of their nodes have the level that they have in the graph."""
+    nulls = null_graphs(g, seeds)
+    origin = F.regexp_extract("graph_id", ORIGIN, 1).alias("g")
+    edges = nulls.edges.groupBy(origin).agg(F.countDistinct("graph_id").alias("seeds"), F.count("*").alias("edges"))
+    own = g.levels.select(F.col("graph_id").alias("g"), "node_id", F.col("level").alias("own"))
+    kept = nulls.levels.select(origin, "node_id", "level").join(own, ["g", "node_id"]).groupBy("g").agg(F.count_if(F.expr("level = own")).alias("nodes_on_level"))
+    return edges.join(kept, "g").withColumnRenamed("g", "graph_id")
 
 
 def random_curves(g: Graphs, seeds: int = 100) -> DataFrame:
@@ -121,7 +155,11 @@ def rho(x: list[float], y: list[float]) -> float | None:
     return sum((p - ma) * (q - mb) for p, q in zip(a, b, strict=True)) / (sum((p - ma) ** 2 for p in a) * sum((q - mb) ** 2 for q in b)) ** 0.5
 
 
-def resampled(rows: DataFrame, x: str, y: str, key: str, times: int = 10_000, shuffle_seed: int = 20260928, bootstrap_seed: int = 20260929) -> DataFrame:
+# The seeds of the permutations and of the bootstrap.
+SHUFFLE_SEED, BOOTSTRAP_SEED = 20260928, 20260929
+
+
+def resampled(rows: DataFrame, x: str, y: str, key: str, times: int = 10_000, shuffle_seed: int = SHUFFLE_SEED, bootstrap_seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """One row: rho, its two-sided permutation p-value and its bootstrap interval over a row a graph.
 
     One generator runs through all repetitions, so they are one sequence; ``rows`` holds a row a graph.
@@ -157,11 +195,11 @@ def resampled(rows: DataFrame, x: str, y: str, key: str, times: int = 10_000, sh
 def topology_classes(g: Graphs, rounds: int = 5) -> DataFrame:
     """``graph_id, topology_hash``: equal for graphs that Weisfeiler-Lehman refinement can't tell apart.
 
-    Each round a node's label becomes the hash of its own and its successors' sorted labels.
+    A node's first label is its degree, in and out together; each round the label becomes the hash of
+    its own and its successors' sorted labels.
     """
-    from edgeloom.plans.storage import materialize
-
-    labels = g.nodes.join(g.edges.groupBy("graph_id", F.col("src").alias("node_id")).count(), ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("count", F.lit(0)).cast("string").alias("label"))
+    ends = g.edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).groupBy("graph_id", "node_id").count()
+    labels = g.nodes.join(ends, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("count", F.lit(0)).cast("string").alias("label"))
     history = labels
     for _ in range(rounds):
         labels = materialize(labels, "wl")
@@ -170,3 +208,10 @@ def topology_classes(g: Graphs, rounds: int = 5) -> DataFrame:
         history = history.unionByName(labels)
     counts = history.groupBy("graph_id", "label").count()
     return counts.groupBy("graph_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "label", "count"))), ","), 256), 1, 32).alias("topology_hash"))
+
+
+def topology_groups(g: Graphs, rounds: int = 5) -> DataFrame:
+    """``topology_hash, members, graph_id``: the graphs of each class that has more than one; a row a graph, since a class has no bound."""
+    classes = materialize(topology_classes(g, rounds), "classes")
+    size = classes.groupBy("topology_hash").agg(F.count("*").alias("members")).filter("members > 1")
+    return classes.join(size, "topology_hash").select("topology_hash", "members", "graph_id")

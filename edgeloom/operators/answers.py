@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.graphs import Graphs
@@ -133,3 +133,12 @@ def parity(g: Graphs, gold: DataFrame) -> DataFrame:
     given = signatures(gold).withColumn("given", F.lit(1))
     both = made.join(given, ["dataset", "subtype", "question", "answer"], "full")
     return both.groupBy("dataset", "subtype").agg(F.count("made").alias("generated"), F.count("given").alias("gold"), F.count_if(F.expr("given is null")).alias("missing"), F.count_if(F.expr("made is null")).alias("extra"))
+
+
+def differences(g: Graphs, gold: DataFrame, limit: int = 10) -> DataFrame:
+    """``dataset, side, place, subtype, question, answer``: the first ``limit`` signatures of each graph that ``gold`` misses, and that it has too many."""
+    made, given = signatures(questions(g)), signatures(gold)
+    key = ["dataset", "subtype", "question", "answer"]
+    both = made.join(given, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(given.join(made, key, "left_anti").withColumn("side", F.lit("extra")))
+    place = F.row_number().over(Window.partitionBy("dataset", "side").orderBy("subtype", "question", "answer"))
+    return both.withColumn("place", place).filter(F.col("place") <= limit)

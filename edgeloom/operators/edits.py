@@ -1,7 +1,8 @@
 """Single-edge edits and what they change, set at a time.
 
 No edit is ever applied and traversed.  With P the path counts (P(x,x) = 1), deleting
-u->v loses the pair (a,b) if all its paths run through the edge: P(a,u) * P(v,b) = P(a,b).
+u->v loses the pair (a,b) if all its paths run through the edge: P(a,u) * P(v,b) = P(a,b),
+which is compared modulo two primes, since counts grow without bound.
 Adding u->v gains (a,b) if a reaches u, v reaches b, and a did not reach b.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.answers import OPERATIONS, all_elements, elements, frozen_cases
 from edgeloom.operators.graphs import Graphs
+from edgeloom.plans.paths import PRIMES, closure
 from edgeloom.plans.storage import materialize
 
 EDIT = ("graph_id", "kind", "u", "v")
@@ -35,16 +37,17 @@ def edit_order():
 
 
 def through(g: Graphs, edits: DataFrame) -> DataFrame:
-    """``edits`` joined with the pairs (a, b) such that a reaches u and v reaches b: ``p`` paths through the edge."""
-    head = g.reach0.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("u"), F.col("paths").alias("p1"), F.col("dist").alias("d1"), F.col("sigma").alias("s1"))
-    tail = g.reach0.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("b"), F.col("paths").alias("p2"), F.col("dist").alias("d2"), F.col("sigma").alias("s2"))
-    return edits.join(head, ["graph_id", "u"]).join(tail, ["graph_id", "v"]).select(*EDIT, "a", "b", (F.col("p1") * F.col("p2")).alias("p"), (F.col("d1") + F.col("d2") + 1).alias("d"), (F.col("s1") * F.col("s2")).alias("s"))
+    """``edits`` joined with the pairs (a, b) such that a reaches u and v reaches b: ``p1, p2`` are the paths through the edge modulo the ``PRIMES``."""
+    head = g.reach0.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("u"), F.col("r1").alias("h1"), F.col("r2").alias("h2"), F.col("dist").alias("d1"), F.col("sigma").alias("s1"))
+    tail = g.reach0.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("b"), F.col("r1").alias("t1"), F.col("r2").alias("t2"), F.col("dist").alias("d2"), F.col("sigma").alias("s2"))
+    counts = [(F.col(f"h{i}") * F.col(f"t{i}") % q).alias(f"p{i}") for i, q in enumerate(PRIMES, 1)]
+    return edits.join(head, ["graph_id", "u"]).join(tail, ["graph_id", "v"]).select(*EDIT, "a", "b", *counts, (F.col("d1") + F.col("d2") + 1).alias("d"), (F.col("s1") * F.col("s2")).alias("s"))
 
 
 def lost_pairs(g: Graphs) -> DataFrame:
     """``graph_id, kind, u, v, a, b``: pairs that deleting u->v disconnects."""
-    pair = g.reach.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "paths")
-    return through(g, deletions(g)).join(pair, ["graph_id", "a", "b"]).filter("p = paths").select(*EDIT, "a", "b")
+    pair = g.reach.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "r1", "r2")
+    return through(g, deletions(g)).join(pair, ["graph_id", "a", "b"]).filter("p1 = r1 and p2 = r2").select(*EDIT, "a", "b")
 
 
 def gained_pairs(g: Graphs) -> DataFrame:
@@ -239,3 +242,19 @@ def amplification(answers, edges):
     """Incorrect answer elements per incorrect edge: 0/0 is 0, x/0 is infinite; negative counts raise."""
     bad = F.raise_error(F.lit("counts must not be negative"))
     return F.when((answers < 0) | (edges < 0), bad.cast("double")).when(edges > 0, answers / edges).when(answers > 0, F.lit(float("inf"))).otherwise(0.0)
+
+
+def oracle_check(g: Graphs) -> DataFrame:
+    """Per graph and kind of edit: edits, and those whose lost or gained pairs differ from closing the edited graph again.
+
+    A check for small graphs: every edit makes a copy of its graph.
+    """
+    key = F.concat_ws("|", "graph_id", "kind", "u", "v").alias("key")
+    every = materialize(deletions(g).unionByName(admissible_additions(g)).select(key, *EDIT), "edits")
+    kept = every.join(g.edges, "graph_id").filter("kind = 'add' or src <> u or dst <> v").select(F.col("key").alias("graph_id"), "src", "dst")
+    copies = kept.unionByName(every.filter("kind = 'add'").select(F.col("key").alias("graph_id"), F.col("u").alias("src"), F.col("v").alias("dst")))
+    after = closure(copies).groupBy(F.col("graph_id").alias("key")).agg(F.count("*").alias("after"))
+    before = g.reach.groupBy("graph_id").agg(F.count("*").alias("before"))
+    lost, gained = lost_pairs(g).groupBy(key).agg(F.count("*").alias("lost")), gained_pairs(g).groupBy(key).agg(F.count("*").alias("gained"))
+    r = every.join(after, "key", "left").join(before, "graph_id", "left").join(lost, "key", "left").join(gained, "key", "left").fillna(0)
+    return r.groupBy("graph_id", "kind").agg(F.count("*").alias("edits"), F.count_if(F.expr("after <> before - lost + gained")).alias("mismatches"))

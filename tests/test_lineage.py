@@ -16,7 +16,7 @@ TOYS = {
     "redundant": (3, [(0, 1), (1, 2), (0, 2)], []),
     "fk": (4, [(0, 1), (1, 2)], [(3, 2)]),
     "lonely": (4, [(0, 1), (1, 2)], []),
-    "uneven": (6, [(0, 2), (1, 2), (2, 3), (2, 4), (0, 4), (3, 5), (1, 5)], []),
+    "uneven": (7, [(0, 1), (0, 3), (1, 3), (1, 4), (2, 4), (4, 5), (3, 6), (5, 6)], []),
 }
 
 
@@ -55,7 +55,7 @@ def test_severity(toys):
 
 def test_levels_and_multiplicity(toys):
     levels = [r.level for r in sorted(one(toys.levels, graph_id="uneven"), key=lambda r: r.node_id)]
-    assert levels == [0, 0, 1, 2, 2, 3]
+    assert levels == [0, 1, 0, 2, 2, 3, 4]
     m = {r.graph_id: (r.reachable_pairs, r.multi_path_pairs) for r in stats.path_multiplicity(toys).collect()}
     assert m["chain"] == (6, 0) and m["diamond"] == (5, 1)
 
@@ -153,3 +153,55 @@ def test_empty_graphs(spark):
     assert edits.deletion_severity(g).count() == 0
     assert stats.path_multiplicity(g).first().multi_path_fraction == 0.0
     assert edits.diagnostics(g).first().mean_descendants == 0.0
+
+
+def graphs_of(spark, **shapes):
+    nodes = [(g, i, f"n{i}") for g, (n, _) in shapes.items() for i in range(n)]
+    edges = [(g, u, v) for g, (_, e) in shapes.items() for u, v in e]
+    return Graphs(spark.createDataFrame(nodes, "graph_id string, node_id int, name string"), spark.createDataFrame(edges, "graph_id string, src int, dst int"))
+
+
+def test_topology_starts_from_both_degrees(spark):
+    g = graphs_of(spark, joined=(4, [(0, 2), (1, 2)]), apart=(4, [(0, 2), (1, 3)]), again=(4, [(3, 0), (2, 1)]))
+    got = {r.graph_id: r.topology_hash for r in seeded.topology_classes(g).collect()}
+    assert got["joined"] != got["apart"] == got["again"]
+    assert {(r.graph_id, r.members) for r in seeded.topology_groups(g).collect()} == {("apart", 2), ("again", 2)}
+
+
+def test_path_counts_beyond_any_integer(spark):
+    """Eighty diamonds in a row hold 2^80 paths; their waists are cuts and their sides are not."""
+    edges, n = [], 80
+    for i in range(n):
+        a = 3 * i
+        edges += [(a, a + 1), (a, a + 2), (a + 1, a + 3), (a + 2, a + 3)]
+    g = graphs_of(spark, tower=(3 * n + 1, [*edges, (3 * n, 3 * n + 1)][: 4 * n]))
+    ends = g.reach.filter(f"src = 0 and dst = {3 * n}").first()
+    assert ends.paths == 2 and ends.dist == ends.longest == 2 * n and ends.sigma == pytest.approx(2.0**n)
+    r = stats.path_multiplicity(g).first()
+    assert r.multi_path_pairs > 10_000
+    assert {(r.lost, r.alternate_path) for r in edits.deletion_severity(g).filter("u = 0").collect()} == {(1, False)}
+
+
+def test_leave_one_out_equals_recomputing(spark):
+    rng = random.Random(6)
+    rows = [(f"k{i}", float(rng.randrange(6)), rng.choice([rng.random(), 0.5])) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, x double, y double")
+    got = {r.left_out: (r["items"], r.rho) for r in stats.leave_one_out(df, "x", "y", "key").collect()}
+    for k, _, _ in rows:
+        rest = [(x, y) for q, x, y in rows if q != k]
+        assert got[k] == (39, pytest.approx(seeded.rho([x for x, _ in rest], [y for _, y in rest]), abs=1e-9))
+    r = stats.leave_one_out_range(df, "x", "y", "key").first()
+    assert (r.min_rho, r.max_rho) == (min(v for _, v in got.values()), max(v for _, v in got.values()))
+    same = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 2.0), ("c", 1.0, 3.0), ("d", 1.0, 4.0)], "key string, x double, y double")
+    assert {r.rho for r in stats.leave_one_out(same, "x", "y", "key").collect()} == {None}
+
+
+def test_seeded_addition_of_given_candidates(spark):
+    g = graphs_of(spark, t=(5, [(0, 1), (1, 2)]))
+    given = lambda *pairs: spark.createDataFrame([("t", u, v) for u, v in pairs], "graph_id string, src int, dst int")
+    # a loop, an edge that is there and one that closes a cycle are no candidates
+    out, added = seeded.seeded_addition(g, 2, seed=3, candidates=given((2, 2), (0, 1), (2, 0), (0, 2), (3, 4)))
+    assert {(r.src, r.dst) for r in added.collect()} == {(0, 2), (3, 4)}
+    assert {(r.src, r.dst) for r in out.edges.collect()} == {(0, 1), (1, 2), (0, 2), (3, 4)}
+    with pytest.raises(ValueError):
+        seeded.seeded_addition(g, 2, candidates=given((3, 4), (4, 3)))

@@ -10,7 +10,7 @@ from edgeloom.plans.oracles import ORACLES
 from edgeloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["deletion_severity", "combined_impact", "frozen_cases", "lost_pairs", "edit_damage_by_bucket", "frozen_damage", "structural_features", "lemma_check", "corpus_summary", "budget_curves", "lineage_questions", "gold_parity", "manifest_diff"]
+FAST = ["deletion_severity", "combined_impact", "frozen_cases", "lost_pairs", "edit_damage_by_bucket", "frozen_damage", "structural_features", "lemma_check", "corpus_summary", "budget_curves", "lineage_questions", "gold_parity", "gold_differences", "manifest_diff", "deletion_severity_dense", "graph_statuses", "set_distortion", "error_amplification", "topology_classes", "topology_groups", "leave_one_out_spearman", "sampled_edit_check", "layered_null_check"]
 
 
 def plain(v):
