@@ -168,6 +168,13 @@ def _bit(column: str):
     return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _marked(rows: DataFrame, column: str, wanted: DataFrame, other: str) -> DataFrame:
+    """The ``rows`` whose ``column`` may be among ``wanted``'s ``other``: a bitmap of at most 2^(``BITMAP`` - 6) rows is broadcast; it drops no wanted row."""
+    (word, bit), (at, mark) = _bit(column), _bit(other)
+    bitmap = wanted.select(at.alias("_word"), mark.alias("_mark")).groupBy("_word").agg(F.bit_or("_mark").alias("_bits"))
+    return rows.join(F.broadcast(bitmap), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0)).drop("_word", "_bits")
+
+
 def texts_of(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``node`` and compressed text ``z`` of each row of ``wanted`` (``node, id, tp, tq``).
 
@@ -189,10 +196,8 @@ def texts_of(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), pa.array([m[0] for _, m in found], pa.int64()), pa.array([m[1] for _, m in found], pa.int64()), pa.array([z for _, z in found.values()], pa.binary())], names=["i", "mp", "mq", "z"])
 
     kind = docs.schema[key].dataType.simpleString()
-    word, bit = _bit("id")
-    bitmap = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
-    rows = rows.join(F.broadcast(bitmap), (word == F.col("word")) & (bit.bitwiseAND(F.col("bits")) != 0)).select("id", "text")
+    rows = _marked(rows, "id", wanted, "id").select("id", "text")
     packed = rows.mapInArrow(run, f"i {kind}, mp long, mq long, z binary")
     return packed.join(wanted, (F.col("i") == F.col("id")) & (F.col("mp") == F.col("tp")) & (F.col("mq") == F.col("tq"))).select("node", "z")
 
@@ -240,7 +245,8 @@ def dealt(rows: DataFrame, total: int, block: int) -> DataFrame:
     """
     sizes = rows.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top"))
     sizes = sizes.filter("n > top.m").select("g", "n", F.col("top.c").alias("main"), F.ceil(F.col("top.m") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("others"))
-    inside = spread_join(rows, materialize(sizes, "sizes"), ["g"], "node", total)
+    sizes = materialize(sizes, "sizes")
+    inside = spread_join(_marked(rows, "g", sizes, "g"), sizes, ["g"], "node", total)
     inside = inside.withColumn("second", F.col("c") != F.col("main"))
     inside = inside.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("second"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
     across = inside.withColumn("s", F.explode(F.sequence(F.lit(0), F.when(F.col("second"), F.col("mains")).otherwise(F.col("others")) - 1)))
