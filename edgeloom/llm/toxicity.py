@@ -371,6 +371,8 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns.
 
+    A text without a matched clause (of weight 0 or less) stays, however common toxic labels are:
+    the prior alone rejects nothing, so without labels, and for null and empty texts, all rows stay.
     The text is scored in the same pass as the row is kept or dropped: no join by id,
     so null and repeated ids keep their rows.
     """
@@ -381,6 +383,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
         g = shared.value
         finder = g.finder()
         for batch in batches:
-            yield batch.filter(pa.array([g.score(g.weigh(t, finder)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            weights = [g.weigh(t, finder) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([w <= 0 or g.score(w) < threshold for w in weights], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
