@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.plans.storage import discard, materialize, new_path  # noqa: F401
+from edgeloom.plans.storage import discard, new_path  # noqa: F401
+from edgeloom.plans.storage import written as materialize  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
