@@ -14,6 +14,7 @@ from edgeloom.operators import priority as P
 from edgeloom.operators import sensitivity as N
 from edgeloom.operators import stats as S
 from edgeloom.operators.graphs import Graphs
+from edgeloom.plans.storage import discard, materialize
 from edgeloom.sources import projects as X
 
 # Every row of orders, or of lineitem, is an edge of some graph: a block of 120 (60) keys and a remainder name the
@@ -42,7 +43,9 @@ def graphs(spark: SparkSession, sf_dir: str, name: str = "multi") -> Graphs:
         fk = spark.sql(keys.replace(f"from {table}", f"from {view}")).select(graph, F.col("child").cast("int"), F.col("parent").cast("int")) if keys else None
         g = Graphs(nodes, edges, fk)
         if fk is not None:
-            g.fk = g.fk.join(nodes.select("graph_id").distinct(), "graph_id", "left_semi")
+            # written again: a join has neither the weight nor the rows of a table, and every query would make it anew
+            every, g.fk = g.fk, materialize(g.fk.join(g.edges.select("graph_id").distinct(), "graph_id", "left_semi"), "fk")
+            discard(every)
         _GRAPHS[key] = g
     return _GRAPHS[key]
 

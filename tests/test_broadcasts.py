@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import answers, edits, priority, stats
 from edgeloom.operators.graphs import Graphs
+from edgeloom.plans import queries
 from edgeloom.plans.queries import QUERIES
 from edgeloom.plans.storage import materialize, written
 
@@ -50,3 +51,18 @@ def test_nothing_is_broadcast_from_packed_tables(spark, many, threshold):
     }
     assert [k for k, df in made.items() if "BroadcastHashJoin" in planned(df)] == []
     assert made["severity"].count() == 40_000 and made["answers"].count() == 60_000
+
+
+@pytest.fixture
+def packed(spark, threshold, monkeypatch):
+    """Graphs of their own for the queries, made under a threshold over the files of sf0.01 and under their rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "48k")
+    monkeypatch.setattr(queries, "_GRAPHS", {})
+    return DATA.replace("0.001", "0.01")
+
+
+def test_foreign_keys_of_the_queries_are_weighed(spark, packed):
+    """They were a join over a weighed table: lighter than the threshold by their files, and joined to what has no weight."""
+    other = spark.range(10**9).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("graph_id"))
+    assert "BroadcastHashJoin" not in planned(other.join(queries.graphs(spark, packed).fk, "graph_id"))
+    assert [k for k in ("edit_damage_by_operation", "frozen_damage") if "BroadcastHashJoin" in planned(QUERIES[k](spark, packed))] == []
