@@ -173,6 +173,7 @@ def relationship_audit(files: DataFrame) -> DataFrame:
 
 def project_audit(files: DataFrame) -> DataFrame:
     """Per project: models, SQL files anywhere, unresolved references, and whether it has a package file."""
+    files = materialize(files, "files")  # read six times, and weighed
     _, _, graphs = model_graphs(files)
     models = model_files(files).groupBy("project").agg(F.countDistinct("model").alias("models"))
     sql = outside_packages(files).filter("path like '%.sql'").groupBy("project").agg(F.count("*").alias("sql_files"))

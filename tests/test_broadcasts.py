@@ -66,3 +66,7 @@ def test_foreign_keys_of_the_queries_are_weighed(spark, packed):
     other = spark.range(10**9).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("graph_id"))
     assert "BroadcastHashJoin" not in planned(other.join(queries.graphs(spark, packed).fk, "graph_id"))
     assert [k for k in ("edit_damage_by_operation", "frozen_damage") if "BroadcastHashJoin" in planned(QUERIES[k](spark, packed))] == []
+
+
+def test_no_project_table_of_an_audit_is_broadcast(spark, packed):
+    assert "BroadcastHashJoin" not in planned(QUERIES["group_audit"](spark, packed))
