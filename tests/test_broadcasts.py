@@ -70,3 +70,8 @@ def test_foreign_keys_of_the_queries_are_weighed(spark, packed):
 
 def test_no_project_table_of_an_audit_is_broadcast(spark, packed):
     assert "BroadcastHashJoin" not in planned(QUERIES["group_audit"](spark, packed))
+
+
+def test_no_table_of_questions_summaries_or_statuses_is_broadcast(spark, packed):
+    names = ("frozen_cases", "gold_parity", "gold_differences", "corpus_summary", "graph_statuses", "budget_curves")
+    assert [k for k in names if "BroadcastHashJoin" in planned(QUERIES[k](spark, packed))] == []
