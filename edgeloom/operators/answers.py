@@ -127,18 +127,22 @@ def signatures(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("subtype").isin(*QUESTIONS)).select("dataset", "subtype", "question", "answer").distinct()
 
 
-def parity(g: Graphs, gold: DataFrame) -> DataFrame:
-    """Per graph and population: questions expected, given, missing from ``gold`` and extra in it."""
+def compared(g: Graphs, gold: DataFrame) -> DataFrame:
+    """``dataset, subtype, question, answer`` of every signature of ``g`` or of ``gold``; ``made`` and ``given`` are null where that side lacks it."""
     made = signatures(questions(g)).withColumn("made", F.lit(1))
     given = signatures(gold).withColumn("given", F.lit(1))
-    both = made.join(given, ["dataset", "subtype", "question", "answer"], "full")
+    return made.join(given, ["dataset", "subtype", "question", "answer"], "full")
+
+
+def parity(g: Graphs, gold: DataFrame) -> DataFrame:
+    """Per graph and population: questions expected, given, missing from ``gold`` and extra in it."""
+    both = compared(g, gold)
     return both.groupBy("dataset", "subtype").agg(F.count("made").alias("generated"), F.count("given").alias("gold"), F.count_if(F.expr("given is null")).alias("missing"), F.count_if(F.expr("made is null")).alias("extra"))
 
 
 def differences(g: Graphs, gold: DataFrame, limit: int = 10) -> DataFrame:
     """``dataset, side, place, subtype, question, answer``: the first ``limit`` signatures of each graph that ``gold`` misses, and that it has too many."""
-    made, given = signatures(questions(g)), signatures(gold)
-    key = ["dataset", "subtype", "question", "answer"]
-    both = made.join(given, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(given.join(made, key, "left_anti").withColumn("side", F.lit("extra")))
+    side = F.when(F.col("given").isNull(), "missing").when(F.col("made").isNull(), "extra").alias("side")
+    both = compared(g, gold).select("dataset", "subtype", "question", "answer", side).filter("side is not null")
     place = F.row_number().over(Window.partitionBy("dataset", "side").orderBy("subtype", "question", "answer"))
     return both.withColumn("place", place).filter(F.col("place") <= limit)

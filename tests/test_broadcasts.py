@@ -75,3 +75,9 @@ def test_no_project_table_of_an_audit_is_broadcast(spark, packed):
 def test_no_table_of_questions_summaries_or_statuses_is_broadcast(spark, packed):
     names = ("frozen_cases", "gold_parity", "gold_differences", "corpus_summary", "graph_statuses", "budget_curves")
     assert [k for k in names if "BroadcastHashJoin" in planned(QUERIES[k](spark, packed))] == []
+
+
+def test_questions_are_compared_with_gold_once(spark, packed):
+    """Both sides of the differences come from one join; two anti joins made every question four times."""
+    joins = {k: planned(QUERIES[k](spark, packed)).count("SortMergeJoin") for k in ("gold_parity", "gold_differences")}
+    assert joins["gold_differences"] == joins["gold_parity"] > 0
