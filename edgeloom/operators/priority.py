@@ -39,33 +39,45 @@ def edge_features(g: Graphs) -> DataFrame:
     return r.select(*key, "impact", "edge_betweenness", (F.col("o") * F.col("i")).alias("degree_product"), "downstream_closure", "upstream_closure")
 
 
+def eligible_features(g: Graphs) -> DataFrame:
+    return materialize(edge_features(g).join(eligible(g), "graph_id", "left_semi"), "features")
+
+
+def with_errors(features: DataFrame) -> DataFrame:
+    """``features`` of all edges of their graphs, for each scenario, with ``error_probability`` and ``expected_risk``.
+
+    The means are taken over rows dealt by ``graph_id``, before the scenarios are written out.
+    """
+    one = Window.partitionBy("graph_id")
+    scaled = lambda raw: F.least(F.lit(MOST_ERROR), F.greatest(F.lit(LEAST_ERROR), raw * (F.lit(MEAN_ERROR) / F.avg(raw).over(one))))
+    odds = {"uniform_10pct": F.lit(MEAN_ERROR), "anti_impact_degree": scaled(1.0 / (1.0 + F.col("degree_product"))), "pro_betweenness": scaled(0.25 + F.col("edge_betweenness"))}
+    each = features.withColumn("odds", F.array(*[F.struct(F.lit(s).alias("scenario"), odds[s].alias("error_probability")) for s in SCENARIOS]))
+    each = each.withColumn("x", F.explode("odds")).select(*features.columns, "x.*")
+    return each.withColumn("expected_risk", F.col("error_probability") * F.col("impact"))
+
+
 def error_rows(g: Graphs) -> DataFrame:
     """Edge features of eligible graphs for each scenario, with ``error_probability`` and ``expected_risk``."""
-    f = materialize(edge_features(g).join(eligible(g), "graph_id", "left_semi"), "features")
-    f = f.select("*", F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario"))
-    raw = F.when(F.col("scenario") == "anti_impact_degree", 1.0 / (1.0 + F.col("degree_product"))).when(F.col("scenario") == "pro_betweenness", 0.25 + F.col("edge_betweenness"))
-    f = f.withColumn("raw", raw)
-    mean = F.avg("raw").over(Window.partitionBy("graph_id", "scenario"))
-    scaled = F.least(F.lit(MOST_ERROR), F.greatest(F.lit(LEAST_ERROR), F.col("raw") * (F.lit(MEAN_ERROR) / mean)))
-    f = f.withColumn("error_probability", F.when(F.col("scenario") == "uniform_10pct", F.lit(MEAN_ERROR)).otherwise(scaled)).drop("raw")
-    return f.withColumn("expected_risk", F.col("error_probability") * F.col("impact"))
+    return with_errors(eligible_features(g))
 
 
 def budget_curves(g: Graphs) -> DataFrame:
     """Per graph, scenario, strategy and budget: the share of expected risk that verifying the first edges removes.
 
-    Ties go to the larger impact, then to the later source and target names.
+    Ties go to the larger impact, then to the later source and target names.  Edges get their names and are dealt by
+    ``graph_id`` once, before they are written out for scenarios and strategies; budgets are columns of one sum.
     """
-    rows = g.named(error_rows(g), src_name="u", dst_name="v")
+    rows = with_errors(g.named(eligible_features(g), src_name="u", dst_name="v"))
     key = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.round(F.col(s).cast("double"), 12).alias("score")) for s in STRATEGIES])).alias("x")
     rows = rows.select("graph_id", "scenario", "impact", "expected_risk", "src_name", "dst_name", key).select("*", "x.strategy", "x.score")
     one = Window.partitionBy("graph_id", "scenario", "strategy")
     rows = rows.withColumns({"place": F.row_number().over(one.orderBy(F.desc("score"), F.desc("impact"), F.desc("src_name"), F.desc("dst_name"))), "n": F.count("*").over(one)})
-    taken = rows.select("graph_id", "scenario", "strategy", "place", "n", "expected_risk", F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
-    first = F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("budget") * F.col("n")))
-    sums = taken.groupBy("graph_id", "scenario", "strategy", "budget").agg(F.sum("expected_risk").alias("total"), F.sum(F.when(first, F.col("expected_risk")).otherwise(0.0)).alias("top"))
-    share = F.when(F.col("total") > 0, F.col("top") / F.col("total")).otherwise(0.0)
-    return sums.select("graph_id", "scenario", "strategy", F.concat((F.col("budget") * 100).cast("int").cast("string"), F.lit("pct")).alias("budget"), F.round(share, 9).alias("removed_risk"))
+    first = lambda budget: F.col("place") <= F.greatest(F.lit(1), F.ceil(F.lit(budget) * F.col("n")))
+    tops = {f"{int(b * 100)}pct": F.sum(F.when(first(b), F.col("expected_risk")).otherwise(0.0)) for b in BUDGETS}
+    sums = rows.groupBy("graph_id", "scenario", "strategy").agg(F.sum("expected_risk").alias("total"), *[top.alias(name) for name, top in tops.items()])
+    share = lambda name: F.when(F.col("total") > 0, F.col(name) / F.col("total")).otherwise(0.0)
+    curve = F.explode(F.array(*[F.struct(F.lit(name).alias("budget"), F.round(share(name), 9).alias("removed_risk")) for name in tops]))
+    return sums.select("graph_id", "scenario", "strategy", curve.alias("x")).select("graph_id", "scenario", "strategy", "x.*")
 
 
 def scenario_macro(curves: DataFrame) -> DataFrame:

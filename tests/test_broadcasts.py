@@ -81,3 +81,10 @@ def test_questions_are_compared_with_gold_once(spark, packed):
     """Both sides of the differences come from one join; two anti joins made every question four times."""
     joins = {k: planned(QUERIES[k](spark, packed)).count("SortMergeJoin") for k in ("gold_parity", "gold_differences")}
     assert joins["gold_differences"] == joins["gold_parity"] > 0
+
+
+def test_budget_curves_deal_edges_out_before_they_are_multiplied(spark, packed):
+    """Each edge becomes 18 rows, for scenarios and strategies: none of them is joined or dealt out again."""
+    plan = planned(QUERIES["budget_curves"](spark, packed))
+    above = plan[: plan.rindex("Generate explode")]
+    assert plan.count("Generate explode") == 3 and "Exchange hashpartitioning" not in above and "Join" not in above
