@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.shared import slices
+from edgeloom.llm.shared import lean, slices
 
 #: ASCII characters that are neither letters nor digits become spaces.
 APART = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -330,5 +330,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, ov
             for batch in batches:
                 yield batch.filter(pa.array([not ready.leaks(t, threshold, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.components import components
-from edgeloom.llm.shared import Forest, groups_of, materialize, mix64, partners, slices, spread_join
+from edgeloom.llm.shared import Forest, groups_of, lean, materialize, mix64, partners, slices, spread_join
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -159,7 +159,7 @@ def sketched(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, p long, q long, tp long, tq long, keys array<long>, prints array<long>")
+    return rows.mapInArrow(lean(run), f"id {kind}, n long, p long, q long, tp long, tq long, keys array<long>, prints array<long>")
 
 
 def _bit(column: str):
@@ -198,7 +198,7 @@ def texts_of(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
     rows = _marked(rows, "id", wanted, "id").select("id", "text")
-    packed = rows.mapInArrow(run, f"i {kind}, mp long, mq long, z binary")
+    packed = rows.mapInArrow(lean(run), f"i {kind}, mp long, mq long, z binary")
     return packed.join(wanted, (F.col("i") == F.col("id")) & (F.col("mp") == F.col("tp")) & (F.col("mq") == F.col("tq"))).select("node", "z")
 
 
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, lead: DataFrame, docs: DataFrame, n: int, thresho
                         links.append((name, rep))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], batch.schema.field("rep").type), pa.array([y for _, y in links], batch.schema.field("rep").type)], names=["a", "b"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "rep", "z").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "rep", "z").mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def dealt(rows: DataFrame, total: int, block: int) -> DataFrame:
@@ -261,7 +261,7 @@ MEETING = ["g", "part", "i", "j"]
 
 def met(rows: DataFrame, run, schema: str) -> DataFrame:
     """``run`` over tables of whole meetings."""
-    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING, "second").mapInArrow(lambda batches: (out for t in groups_of(batches, MEETING) for out in run(t)), schema)
+    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING, "second").mapInArrow(lean(lambda batches: (out for t in groups_of(batches, MEETING) for out in run(t))), schema)
 
 
 def near_pairs(t: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.shared import flat, mix64
+from edgeloom.llm.shared import flat, freed, mix64
 
 NO_ID = -(1 << 63)
 
@@ -258,13 +258,13 @@ def duplicate_spans(docs: DataFrame, out, schema: str, *, threshold: int = 50, b
         rows_ = table.take(pa.array(np.argsort(_ids(table.column("_id").combine_chunks()), kind="stable")))
         return out(rows_, b.data, b.at, removed)
 
-    sent = dealt.groupBy("_batch").applyInArrow(send_anchors, "bucket int, batch int, codes binary, own binary")
-    known = sent.groupBy("bucket").applyInArrow(shared_anchors, "bucket int, batch int, bits binary")
+    sent = dealt.groupBy("_batch").applyInArrow(lambda key_, table: freed(send_anchors, key_, table), "bucket int, batch int, codes binary, own binary")
+    known = sent.groupBy("bucket").applyInArrow(lambda key_, table: freed(shared_anchors, key_, table), "bucket int, batch int, bits binary")
     by_batch = dealt.groupBy("_batch")
-    runs = by_batch.cogroup(known.groupBy("batch")).applyInArrow(send_runs, "bucket int, batch int, strings binary, sizes binary, least binary")
-    seen = runs.groupBy("bucket").applyInArrow(repeated_windows, "bucket int, batch int, seen binary")
+    runs = by_batch.cogroup(known.groupBy("batch")).applyInArrow(lambda key_, table, replies: freed(send_runs, key_, table, replies), "bucket int, batch int, strings binary, sizes binary, least binary")
+    seen = runs.groupBy("bucket").applyInArrow(lambda key_, table: freed(repeated_windows, key_, table), "bucket int, batch int, seen binary")
     answers = known.select("bucket", "batch", "bits", F.lit(None).cast("binary").alias("seen")).unionByName(seen.select("bucket", "batch", F.lit(None).cast("binary").alias("bits"), "seen"))
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(cut, schema)
+    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda key_, table, replies: freed(cut, key_, table, replies), schema)
 
 
 def _spans(removed: np.ndarray, at: np.ndarray) -> np.ndarray:

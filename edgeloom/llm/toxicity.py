@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.shared import fold, materialize, thinned
+from edgeloom.llm.shared import fold, lean, materialize, thinned
 
 # The closed word classes of the grammar, in four languages.
 THREATS = frozenset("kill hurt destroy beat stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, min_do
             part = both[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[x] for x in part]), pa.array([clean[x] for x in part])], names=["term", "toxic", "clean"])
 
-    terms = sample.select("text", "_toxic").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = sample.select("text", "_toxic").mapInArrow(lean(counted), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = terms.filter((F.col("toxic") >= min_docs) & (F.col("toxic") >= min_precision * (F.col("toxic") + F.col("clean"))))
     totals = {r["_toxic"]: r["count"] for r in sample.groupBy("_toxic").count().toLocalIterator()}
     base = math.log((totals.get(1, 0) + 1) / (sum(totals.values()) - totals.get(1, 0) + 1))
@@ -275,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, min_do
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(candidates(t) & known.value) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["doc_id", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.filter("_toxic = 1").select("doc_id", "text").mapInArrow(incidence, f"doc_id {kind}, terms array<string>").toLocalIterator()
+    rows = sample.filter("_toxic = 1").select("doc_id", "text").mapInArrow(lean(incidence), f"doc_id {kind}, terms array<string>").toLocalIterator()
     grammar = Grammar(*cover(((i, r.terms) for i, r in enumerate(rows)), found, min_docs))
     fit(grammar, sample)
     return grammar
@@ -321,7 +321,7 @@ def fit(grammar: Grammar, sample: DataFrame, rounds: int = 60, ridge: float = 0.
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([round(grammar.weigh(t, finder), 1) for t in batch.column("text").to_pylist()], pa.float64()), pa.array([int(x == 1) for x in batch.column("_toxic").to_pylist()], pa.int64())], names=["w", "y"])
 
-    rows = [(r.w, r.y, r.n) for r in sample.select("text", "_toxic").mapInArrow(weighed, "w double, y long").groupBy("w", "y").agg(F.count("*").alias("n")).toLocalIterator()]
+    rows = [(r.w, r.y, r.n) for r in sample.select("text", "_toxic").mapInArrow(lean(weighed), "w double, y long").groupBy("w", "y").agg(F.count("*").alias("n")).toLocalIterator()]
     if not rows:
         return
     slope, bias = 0.5, -2.0
@@ -354,7 +354,7 @@ def score(docs: DataFrame, grammar: Grammar, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(weights, pa.float64()), pa.array([g.score(w) for w in weights], pa.float64())], names=["_key", "weight", "score"])
 
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"_key {kind}, weight double, score double").withColumnRenamed("_key", key)
+    return rows.mapInArrow(lean(run), f"_key {kind}, weight double, score double").withColumnRenamed("_key", key)
 
 
 def held_out(column: str = "doc_id"):
@@ -386,4 +386,4 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
             weights = [g.weigh(t, finder) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([w <= 0 or g.score(w) < threshold for w in weights], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
