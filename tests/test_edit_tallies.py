@@ -4,11 +4,13 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from edgeloom.functions import damage
 from edgeloom.operators import edits
 from edgeloom.operators.graphs import Graphs
+from edgeloom.plans import queries
 from edgeloom.plans.oracles import ORACLES
 from edgeloom.plans.queries import QUERIES
 
@@ -60,3 +62,45 @@ def test_graphs_of_unlike_sizes_and_foreign_keys_from_outside(spark, monkeypatch
     monkeypatch.setattr(damage, "ROWS", 1)
     many = sorted(str(r) for b in damage.tally(groups, primes)(iter(table.to_batches(max_chunksize=2))) for r in b.to_pylist())
     assert one == many and one and all(whole)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", ["edit_summary", "frozen_damage"])
+def test_no_path_table_is_written(spark, name, monkeypatch):
+    """Path tables were made first, and their shuffles took more disk than all that follows."""
+    monkeypatch.setattr(queries, "_GRAPHS", {})
+    assert QUERIES[name](spark, DATA).count()
+    assert "reach0" not in vars(queries.graphs(spark, DATA))
+
+
+@pytest.mark.parametrize("edges,n", [([(i, j) for i in range(9) for j in range(i + 1, 9)], 9), ([(3, 1), (1, 0), (3, 0), (0, 4)], 6), ([(i + d, i + 2 + e) for i in range(0, 140, 2) for d in (0, 1) for e in (0, 1)], 142), ([], 1)])
+def test_matrices_are_closed_as_by_counting_paths(edges, n):
+    """The last graph but one has 2^70 paths, more than any number here holds."""
+    primes = (2147483647, 2147483629)
+    edge = np.zeros((2, n, n), bool)
+    for u, v in edges:
+        edge[0, u, v] = edge[1, n - 1 - u, n - 1 - v] = True  # the other is the same with its nodes numbered from the end
+    real = np.ones((2, n), bool)
+    paths, longest = [[0] * n for _ in range(n)], [0] * n
+    into = {v: [a for a, b in edges if b == v] for v in range(n)}
+    todo = list(range(n))
+    while todo:
+        v = next(x for x in todo if not set(into[x]) & set(todo))
+        todo.remove(v)
+        longest[v] = max((longest[u] + 1 for u in into[v]), default=0)
+        for a in range(n):
+            paths[a][v] = (a == v) + sum(paths[a][u] for u in into[v])
+    reach, counts, level = damage.closed(edge, real, primes)
+    for turned in (lambda x: x[0], lambda x: x[1][::-1, ::-1] if x.ndim == 3 else x[1][::-1]):
+        assert turned(reach).tolist() == [[float(x > 0) for x in row] for row in paths]
+        assert [turned(c).tolist() for c in counts] == [[[x % q for x in row] for row in paths] for q in primes]
+        assert turned(level).tolist() == longest
+
+
+@pytest.mark.parametrize("edges", [[(0, 1), (1, 0)], [(0, 1), (1, 1)], [(0, 1), (1, 2), (2, 3), (3, 1)]])
+def test_a_cycle_raises(edges):
+    edge = np.zeros((1, 5, 5), bool)
+    for u, v in edges:
+        edge[0, u, v] = True
+    with pytest.raises(ValueError):
+        damage.closed(edge, np.ones((1, 5), bool), (5, 7))
