@@ -3,6 +3,7 @@
 With R the reflexive closure of a graph, x gains by any addition u->v below it what v reaches and x doesn't, whatever u is:
 row x of one product of R with its complement.  Sums over the changed probes of all additions are products with R again.
 Deletions go through path counts.  No changed element is ever a row, and no path either: matrices are closed from the edges.
+Rows of graphs go to their part as compressed messages, sorted by graph, with each name once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import pyarrow as pa
 #: Cells of the matrices that are held at a time, and rows read before graphs are worked off.
 CELLS, ROWS = 1 << 18, 50_000
 
+#: Rows that a task packs at a time, and what they become.
+PACKED, MESSAGE = 1 << 20, "part int, graphs int, size int, rows binary"
+
 DOWN, UP, FAR_DOWN, FAR_UP, COMBINED = "direct_downstream", "direct_upstream", "transitive_downstream", "transitive_upstream", "combined_impact"
 
 
@@ -237,3 +241,56 @@ def tally(groups: list, primes: tuple):
             yield from tallied(pa.Table.from_batches(held).combine_chunks(), groups, primes)
 
     return run
+
+
+def _messages(t: pa.Table) -> pa.RecordBatch:
+    """A row for each part: graphs, bytes, and compressed: rows and letters of each graph, ``src``, ``dst`` and ``dist`` of each row, names."""
+    t = t.sort_by([("part", "ascending"), ("graph_id", "ascending")])
+    part, coded = t.column("part").to_numpy(), t.column("graph_id").combine_chunks().dictionary_encode()
+    graph, names = coded.indices.to_numpy(), [x.encode() for x in coded.dictionary.to_pylist()]  # in the order of the rows, since a graph is of one part
+    count, letters = np.bincount(graph).astype("<i4"), np.array([len(x) for x in names], "<i4")
+    src, dst, dist = (t.column(c).fill_null(-1).to_numpy().astype("<i4") for c in ("src", "dst", "dist"))
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    graphs, sizes, texts = [], [], []
+    for a, b in zip(first, [*first[1:], len(part)], strict=True):
+        g, h = graph[a], graph[b - 1] + 1
+        text = b"".join([x.tobytes() for x in (count[g:h], letters[g:h], src[a:b], dst[a:b], dist[a:b])] + names[g:h])
+        graphs.append(h - g)
+        sizes.append(len(text))
+        texts.append(pa.compress(text, "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(graphs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["part", "graphs", "size", "rows"])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: rows ``graph_id, src, dst, dist, part`` as ``MESSAGE``, one for each part of ``PACKED`` rows or some more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACKED:
+            yield _messages(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _messages(pa.Table.from_batches(held))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all messages in the order of ``graph_id``; foreign keys have ``dist`` -1."""
+    found = []
+    for batch in batches:
+        for graphs, size, rows in zip(*(batch.column(c).to_pylist() for c in ("graphs", "size", "rows")), strict=True):
+            text = pa.decompress(rows, size, "zstd", asbytes=True)
+            count, letters = np.frombuffer(text, "<i4", 2 * graphs).reshape(2, graphs)
+            n = int(count.sum())
+            numbers = np.frombuffer(text, "<i4", 3 * n, 8 * graphs).reshape(3, n)
+            end = np.concatenate([[0], np.cumsum(letters)]).astype(np.int32)
+            names = pa.StringArray.from_buffers(graphs, pa.py_buffer(end.tobytes()), pa.py_buffer(text[8 * graphs + 12 * n :]))
+            found.append(pa.Table.from_arrays([names.take(pa.array(np.repeat(np.arange(graphs), count))), *map(pa.array, numbers)], names=["graph_id", "src", "dst", "dist"]))
+    if found:
+        yield from pa.concat_tables(found).sort_by("graph_id").combine_chunks().to_batches(max_chunksize=ROWS)
+
+
+def tally_packed(groups: list, primes: tuple):
+    """``tally`` over the messages of whole parts."""
+    each = tally(groups, primes)
+    return lambda batches: each(unpacked(batches))

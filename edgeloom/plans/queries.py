@@ -44,7 +44,8 @@ def graphs(spark: SparkSession, sf_dir: str, name: str = "multi") -> Graphs:
         g = Graphs(nodes, edges, fk)
         if fk is not None:
             # written again: a join has neither the weight nor the rows of a table, and every query would make it anew
-            every, g.fk = g.fk, materialize(g.fk.join(g.edges.select("graph_id").distinct(), "graph_id", "left_semi"), "fk")
+            # (graphs that have edges have nodes, and with them node 0)
+            every, g.fk = g.fk, materialize(g.fk.join(g.nodes.filter("node_id = 0").select("graph_id"), "graph_id", "left_semi"), "fk")
             discard(every)
         _GRAPHS[key] = g
     return _GRAPHS[key]

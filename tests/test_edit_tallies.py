@@ -5,12 +5,13 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgeloom.functions import damage
 from edgeloom.operators import edits
 from edgeloom.operators.graphs import Graphs
-from edgeloom.plans import queries
+from edgeloom.plans import queries, storage
 from edgeloom.plans.oracles import ORACLES
 from edgeloom.plans.queries import QUERIES
 
@@ -104,3 +105,48 @@ def test_a_cycle_raises(edges):
         edge[0, u, v] = True
     with pytest.raises(ValueError):
         damage.closed(edge, np.ones((1, 5), bool), (5, 7))
+
+
+def test_rows_are_dealt_in_small_messages(spark):
+    """A row for each node, edge and key took 12 to 13 bytes of shuffle files, which was the disk peak of frozen_damage."""
+    rng = np.random.default_rng(3)
+    names = [f"p{x}" for x in range(0, 240_000, 12)] + ["", "o'k\0x", "\u00e9\u4e16", "p1 "]
+    graph = rng.permutation(np.repeat(np.arange(len(names)), 5))
+    dist = rng.integers(-1, 2, len(graph))
+    dist[:9] = -(2**31), *[2**31 - 1] * 8
+    ids = rng.integers(0, 12, len(graph)).astype(np.int32)
+    ids[:4] = -(2**31), 2**31 - 1, -1, 0
+    t = pa.table({"graph_id": pa.array(np.array(names, object)[graph], pa.string()), "src": ids, "dst": ids[::-1].copy(), "dist": pa.array(dist.astype(np.int32), mask=dist == -1), "part": pa.array((graph % 7).astype(np.int32))})
+    sent = list(damage.packed(iter(t.to_batches(max_chunksize=999))))
+    parts = [x for b in sent for x in b.column("part").to_pylist()]
+    assert sorted(parts) == sorted({*range(7)}) and sum(len(x.as_py()) for b in sent for x in b.column("rows")) < 6 * len(graph)
+    back = pa.Table.from_batches(damage.unpacked(iter(sent)))
+    want = t.drop_columns("part").set_column(3, "dist", t.column("dist").fill_null(-1))
+    order = [(c, "ascending") for c in want.column_names]
+    assert back.sort_by(order).equals(want.sort_by(order)) and back.column("graph_id").to_pylist() == sorted(back.column("graph_id").to_pylist())
+    assert not list(damage.packed(iter([]))) and not list(damage.unpacked(iter([])))
+
+
+def test_small_packs_make_the_same_rows(spark, monkeypatch):
+    """Graphs whose rows are read by several tasks, and packed at several times."""
+    made = lambda rows, *names: spark.createDataFrame(rows, f"graph_id string, {names[0]} int, {names[1]} int").repartition(5)
+    nodes = spark.createDataFrame([(f"g{i}", j, f"t{j}") for i in range(9) for j in range(i)], "graph_id string, node_id int, name string")
+    edges = made([(f"g{i}", j, k) for i in range(9) for j in range(i) for k in range(j + 1, i) if (i + j * k) % 3], "src", "dst")
+    g = Graphs(nodes, edges, made([(f"g{i}", i % 4, i % 3) for i in range(9)], "child", "parent"))
+    want = rows_of(edits.frozen_damage(g))
+    rows = [pa.RecordBatch.from_pylist([{"graph_id": f"g{i}", "src": i, "dst": i, "dist": 0, "part": i % 2}]) for i in range(5)]
+    monkeypatch.setattr(damage, "PACKED", 1)
+    assert len(list(damage.packed(iter(rows)))) == 5
+    monkeypatch.setattr(edits, "PART_ROWS", 10)
+    assert rows_of(edits.frozen_damage(g)) == want and want
+
+
+def test_no_shuffle_files_stay_after_a_table_is_written(spark):
+    """They stayed until the driver happened to collect its garbage, beside those of all later tables."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {x: os.path.getsize(x) for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and os.path.exists(x)}
+    before, was = found(), spark.conf.get(storage.CLEAN, "false")
+    copy = storage.materialize(spark.range(100_000).selectExpr("id % 50023 as k", "id % 5 as j").distinct(), "t")
+    left = sum(n for x, n in found().items() if x not in before)
+    assert left < 10_000  # of the count of its rows; of the table there were 500,000 and more
+    assert copy.count() == 100_000 and spark.conf.get(storage.CLEAN, "false") == was
